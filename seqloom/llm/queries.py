@@ -6,10 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm.sketch import build_sketches, merge_sketches, query_sketches
+from seqloom.llm.spans import shared_spans
 from seqloom.llm.terms import term_frequency
+from seqloom.llm.tokens import encode
 from seqloom.queries.problems import RECORDS
 from seqloom.records import latest, reference_name, table
 
+# ---- p3: stretches shared between contigs
+
+
+def _contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest(table(spark, sf_dir, "contig_alns"), "rec_id", ["rec_id", "seq"]).where("seq <> '*'")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal runs of shared bases of every contig."""
+    return shared_spans(_contigs(spark, sf_dir), "rec_id", "seq", 48).select("rec_id", F.col("pos").cast("int").alias("pos"), F.col("span_len").cast("int").alias("span_len"))
+
+
+def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every contig is shared elsewhere; 0 of 0 bases for a contig without a sequence."""
+    whole = latest(table(spark, sf_dir, "contig_alns"), "rec_id", ["rec_id", "seq"]).select("rec_id", F.when(F.col("seq") != "*", F.length("seq")).otherwise(0).alias("bases"))
+    spans = p3_found(spark, sf_dir).groupBy("rec_id").agg(F.sum("span_len").alias("shared"), F.count(F.lit(1)).alias("spans"))
+    return whole.join(spans, "rec_id", "left").select("rec_id", F.col("bases").cast("long").alias("bases"), F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), F.coalesce("spans", F.lit(0)).cast("long").alias("spans"))
+
+
 # ---- p4: percentiles of tlen
 
 
@@ -53,12 +74,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_counts(spark, sf_dir).where("mark IS NOT NULL").select("kmer", "mark")
 
 
+# ---- p6: token ids of every document
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document by byte_bpe_50k; an empty list for a null and an empty text."""
+    return encode(table(spark, sf_dir, "documents"), "text", "byte_bpe_50k", keep=("doc_id",))
+
+
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_shared": p3_shared,
     "p4_found": p4_found,
     "p4_quantiles": p4_quantiles,
     "p4_by_bam": p4_by_bam,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
+    "p6_ids": p6_ids,
 }
 
 _TERMS = f"""
@@ -67,7 +99,19 @@ w AS (SELECT aln_id, substr(seq, i, 10) AS kmer FROM s, unnest(range(1, length(s
 c AS (SELECT kmer, count(*) AS occurrences, count(DISTINCT aln_id) AS records FROM w WHERE regexp_full_match(kmer, '[ACGT]{{10}}') GROUP BY kmer),
 m AS (SELECT c.*, CASE WHEN records = 1 THEN 'rare' WHEN records * 400 >= n THEN 'common' END AS mark FROM c, n)"""
 
+_SPANS = """
+WITH r AS (SELECT rec_id, CASE WHEN seq <> '*' THEN upper(seq) END AS seq FROM contig_alns QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC) = 1),
+w AS (SELECT rec_id, i - 1 AS pos, substr(seq, i, 48) AS k FROM r, unnest(range(1, length(seq) - 46)) u(i)),
+s AS (SELECT k FROM w WHERE regexp_full_match(k, '[ACGT]{48}') GROUP BY k HAVING count(DISTINCT rec_id) > 1),
+h AS (SELECT DISTINCT rec_id, pos FROM w JOIN s USING (k)),
+g AS (SELECT *, CASE WHEN pos > lag(pos) OVER (PARTITION BY rec_id ORDER BY pos) + 48 OR lag(pos) OVER (PARTITION BY rec_id ORDER BY pos) IS NULL THEN 1 ELSE 0 END AS fresh FROM h),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_id ORDER BY pos) AS run FROM g),
+f AS (SELECT rec_id, CAST(min(pos) AS INTEGER) AS pos, CAST(max(pos) + 48 - min(pos) AS INTEGER) AS span_len FROM i GROUP BY rec_id, run)"""
+
 SQL = {
+    "p3_found": _SPANS + " SELECT * FROM f",
+    "p3_shared": _SPANS + """, t AS (SELECT rec_id, sum(span_len) AS shared, count(*) AS spans FROM f GROUP BY rec_id)
+SELECT rec_id, coalesce(length(seq), 0) AS bases, CAST(coalesce(shared, 0) AS BIGINT) AS shared, coalesce(spans, 0) AS spans FROM r LEFT JOIN t USING (rec_id)""",
     "p4_found": f"""
 WITH {RECORDS}, t AS (SELECT rname, abs(CAST(tlen AS BIGINT)) AS v FROM a WHERE (flag & 4) = 0 AND rname IS NOT NULL AND tlen NOT IN (0, 2147483647, -2147483648)),
 q AS (SELECT rname, count(*) AS n, quantile_disc(v, 0.5) AS m, quantile_disc(v, 0.95) AS u FROM t GROUP BY rname HAVING count(*) >= 40)
