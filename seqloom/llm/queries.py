@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.llm.mixing import mix, plan, report, source_of
 from seqloom.llm.sketch import build_sketches, merge_sketches, query_sketches
 from seqloom.llm.spans import shared_spans
 from seqloom.llm.terms import term_frequency
 from seqloom.llm.tokens import encode
 from seqloom.queries.problems import RECORDS
-from seqloom.records import latest, reference_name, table
+from seqloom.records import cut, latest, reference_name, table
 
 # ---- p3: stretches shared between contigs
 
@@ -82,6 +83,30 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), "text", "byte_bpe_50k", keep=("doc_id",))
 
 
+# ---- p7: sources mixed to target weights
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", source_of(F.col("source")).alias("source"), "text")
+    return encode(docs.where("source IS NOT NULL"), "text", "byte_bpe_50k", keep=("doc_id", "source"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target source what it has, what it should give, what the drawn mix takes of it and its actual share."""
+    sizes = _tokens(spark, sf_dir).select("source", F.size("ids").cast("long").alias("tokens"))
+    return report(spark, plan(sizes, table(spark, sf_dir, "mix_targets")))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus in blocks of token ids. Texts are encoded once, to a table in the shared folder."""
+    return mix(cut(_tokens(spark, sf_dir)), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources that cannot reach their share."""
+    return p7_shares(spark, sf_dir).where("NOT reachable").select("source")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_shared": p3_shared,
@@ -91,6 +116,9 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_counts": p5_counts,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_shares": p7_shares,
+    "p7_mix": p7_mix,
 }
 
 _TERMS = f"""
