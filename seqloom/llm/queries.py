@@ -10,6 +10,7 @@ from seqloom.llm.sketch import build_sketches, merge_sketches, query_sketches
 from seqloom.llm.spans import shared_spans
 from seqloom.llm.terms import term_frequency
 from seqloom.llm.tokens import encode
+from seqloom.llm.truncation import truncated
 from seqloom.queries.problems import RECORDS
 from seqloom.records import cut, latest, reference_name, table
 
@@ -107,6 +108,25 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_shares(spark, sf_dir).where("NOT reachable").select("source")
 
 
+# ---- p8: texts that were cut off
+
+
+def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", source_of(F.col("source")).alias("source"), "text")
+    return truncated(d, "doc_id", "source", "text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose text was cut off."""
+    return _cut(spark, sf_dir).where("is_cut").select(F.col("id").alias("doc_id"))
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source loses text: its documents with a text, those cut off, and their share."""
+    c = _cut(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("is_cut").cast("long")).alias("cut"), F.sum((F.col("by") == "copy").cast("long")).alias("cut_by_copy"))
+    return c.select("source", "texts", "cut", F.coalesce("cut_by_copy", F.lit(0)).alias("cut_by_copy"), (F.col("cut") / F.col("texts")).alias("share"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_shared": p3_shared,
@@ -119,6 +139,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p7_mix": p7_mix,
+    "p8_found": p8_found,
+    "p8_sources": p8_sources,
 }
 
 _TERMS = f"""
