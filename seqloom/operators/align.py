@@ -265,8 +265,13 @@ def local_column(a: Column, b: Column, **options) -> Column:
     return run(a, b)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly: few bytes of pairs can be much work, which partitions sized by bytes don't see."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def verify_pairs(pairs: DataFrame, seqs: DataFrame, id: str, seq: str, **options) -> DataFrame:
     """Candidate pairs (a, b) with the alignment of their sequences: the join comes first, then the function, on candidates only."""
     left, right = (seqs.select(F.col(id).alias(n), F.col(seq).alias(f"__{n}")) for n in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = spread(pairs.join(left, "a").join(right, "b"))
     return both.withColumn("o", overlap_column(F.col("__a"), F.col("__b"), **options)).select("a", "b", "o.*")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from seqloom.functions import seq as S
 from seqloom.operators import graph, joins, kmers, pick
-from seqloom.operators.align import local_column
+from seqloom.operators.align import local_column, spread
 from seqloom.records import cut
 
 
@@ -44,7 +44,7 @@ def align_flanks(flanks: DataFrame, contigs: DataFrame, least: int = 30) -> Data
     """Local alignments of every gap's flanks to its own contigs, both strands: the input of :mod:`pick`."""
     sides = flanks.select("gap_id", F.inline(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("q")), F.struct(F.lit("right").alias("side"), F.col("right").alias("q")))))
     strands = sides.select("gap_id", "side", F.inline(F.array(F.struct(F.lit(0).alias("flag"), F.col("q")), F.struct(F.lit(16).alias("flag"), S.reverse_complement(F.col("q")).alias("q")))))
-    h = strands.join(contigs, "gap_id").withColumn("o", local_column(F.col("q"), F.col("seq"))).where(F.col("o.score") >= least)
+    h = spread(strands.join(contigs, "gap_id")).withColumn("o", local_column(F.col("q"), F.col("seq"))).where(F.col("o.score") >= least)
     clip = lambda n: F.when(n > 3, F.concat(n.cast("string"), F.lit("S"))).otherwise("")
     m = F.col("o.first_end") - F.col("o.first_start") + 1
     cigar = F.concat(clip(F.col("o.first_start") - 1), m.cast("string"), F.lit("M"), clip(F.length("q") - F.col("o.first_end")))

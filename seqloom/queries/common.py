@@ -33,15 +33,15 @@ def libraries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dna(spark: SparkSession, d: str) -> DataFrame:
-    """Documents read as bases: letters only, mapped to A, C, G, T in turn and x, y, z to N, so that runs of N are gaps."""
+    """Documents read as bases: letters only, a to t mapped to A, C, G, T in turn and u to z to N, so that runs of N are gaps."""
     text = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("ord"), F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGNNN").alias("seq"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("ord"), F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTNNNNNN").alias("seq"))
 
 
 SQL_A = RECORDS
 SQL_C = "c AS (SELECT * EXCLUDE (seq), CASE WHEN seq <> '*' THEN upper(seq) END AS seq, 'c' || lpad(CAST(rec_id AS VARCHAR), 9, '0') AS name FROM contig_alns QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC) = 1)"
 SQL_G = "g AS (SELECT DISTINCT gap_id, scaffold, gap_start, gap_end, gap_end - gap_start AS gap_len FROM gap_positions WHERE scaffold IS NOT NULL)"
-SQL_D = "d AS (SELECT doc_id AS ord, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGNNN') AS seq FROM documents WHERE text IS NOT NULL)"
+SQL_D = "d AS (SELECT doc_id AS ord, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTNNNNNN') AS seq FROM documents WHERE text IS NOT NULL)"
 
 
 def summed(column: str, ops: str) -> str:

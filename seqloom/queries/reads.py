@@ -327,11 +327,10 @@ def greedy_totals(spark: SparkSession, d: str) -> DataFrame:
     return A.greedy_total(_spans(spark, d).where("first <= last"), ["rname"])
 
 
-@query(f"WITH {SQL_A}, x AS (SELECT DISTINCT qname, rname FROM a WHERE rname IS NOT NULL AND cigar IS NOT NULL) SELECT qname, count(*) AS scaffolds FROM x GROUP BY qname HAVING count(*) >= 2")
-def reads_on_several(spark: SparkSession, d: str) -> DataFrame:
-    """A14, without a least clip"""
-    a = records(spark, d, "aln_id", "qname", "rname", "cigar").where(F.col("cigar").isNotNull() & F.col("rname").isNotNull())
-    return a.groupBy("qname").agg(F.count_distinct("rname").alias("scaffolds")).where("scaffolds >= 2")
+@query(f"WITH {SELECT_SQL} SELECT qname, count(DISTINCT gap_id) AS gaps FROM s WHERE kind = 'clip' GROUP BY qname HAVING count(DISTINCT gap_id) >= 2")
+def reads_clipped_at_several(spark: SparkSession, d: str) -> DataFrame:
+    """A gap stands for a contig"""
+    return selected(spark, d).where("kind = 'clip'").groupBy("qname").agg(F.count_distinct("gap_id").alias("gaps")).where("gaps >= 2")
 
 
 @query(f"WITH {SQL_A} SELECT rname, count(DISTINCT qname) AS reads FROM a WHERE rname IS NOT NULL AND {VALID} AND greatest(coalesce(try_cast(nullif(regexp_extract(cigar, '^([0-9]+)[SH]', 1), '') AS BIGINT), 0), coalesce(try_cast(nullif(regexp_extract(cigar, '[A-Z=]([0-9]+)[SH]$', 1), '') AS BIGINT), 0)) < 20 GROUP BY rname")
