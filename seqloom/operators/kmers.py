@@ -11,8 +11,14 @@ from seqloom.functions import seq as S
 
 
 def kmer_rows(seqs: DataFrame, keep: Sequence[str], seq: str, k: int) -> DataFrame:
-    """One row per window of k letters, in upper case: (keep..., kmer, at), at 0-based. Shorter and null sequences have none."""
-    return seqs.select(*keep, F.posexplode(S.kmers(F.upper(F.col(seq)), k)).alias("at", "kmer"))
+    """One row per window of k letters, in upper case: (keep..., at, kmer), at 0-based. Shorter and null sequences have none.
+
+    Places are generated and the letters cut out in generated code, which an array of windows built by a lambda isn't.
+    """
+    names = [f"__k{i}" for i in range(len(keep))]
+    x = seqs.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.upper(F.col(seq)).alias("__s")).where(F.length("__s") >= k)
+    x = x.select(*names, "__s", F.explode(F.sequence(F.lit(0), F.length("__s") - k)).alias("at"))
+    return x.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "at", F.substring("__s", F.col("at") + 1, F.lit(k)).alias("kmer"))
 
 
 def kmer_counts(seqs: DataFrame, group: Sequence[str], seq: str, k: int, least: int = 1) -> DataFrame:

@@ -25,9 +25,12 @@ def latest(df: DataFrame, key: str, columns: Sequence[str], order: str = "loaded
     alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
     keep = [c for c in dict.fromkeys(columns) if c not in (key, order)]
     w = Window.partitionBy("__key", "__alone").orderBy(F.col("__order").desc_nulls_last(), "__tie")
+    # a fixed number of partitions: what follows is often much work on few bytes, which partitions merged by bytes wouldn't see
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         df.select(F.col(key).alias("__key"), alone.alias("__alone"), F.col(order).alias("__order"), *[F.col(c).alias(f"__c{i}") for i, c in enumerate(keep)])
         .withColumn("__tie", F.xxhash64(*[f"__c{i}" for i in range(len(keep))]) if keep else F.lit(0))
+        .repartition(parts, "__key", "__alone")
         .withColumn("__n", F.row_number().over(w))
         .where("__n = 1")
         .select(*[F.col("__key").alias(key) if c == key else F.col("__order").alias(order) if c == order else F.col(f"__c{keep.index(c)}").alias(c) for c in dict.fromkeys(columns)])
@@ -40,6 +43,15 @@ def reference_name(rname: Column) -> Column:
     return F.when((name != "") & (name != "*"), name)
 
 
+def parallel(scan: DataFrame) -> DataFrame:
+    """A table as it is read, dealt out to all cores if its files make fewer partitions than there are cores.
+
+    For work that costs far more than moving the rows. Tables of many files stay where they are, so large ones aren't shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session, set to a local one only where none is set (tests, single machine)."""
     sc = spark.sparkContext
