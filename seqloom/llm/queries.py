@@ -12,7 +12,7 @@ from seqloom.llm.terms import term_frequency
 from seqloom.llm.tokens import encode
 from seqloom.llm.truncation import truncated
 from seqloom.queries.problems import RECORDS
-from seqloom.records import cut, latest, reference_name, table
+from seqloom.records import cut, latest, parallel, reference_name, table
 
 # ---- p3: stretches shared between contigs
 
@@ -81,14 +81,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document by byte_bpe_50k; an empty list for a null and an empty text."""
-    return encode(table(spark, sf_dir, "documents"), "text", "byte_bpe_50k", keep=("doc_id",))
+    return encode(parallel(table(spark, sf_dir, "documents").select("doc_id", "text")), "text", "byte_bpe_50k", keep=("doc_id",))
 
 
 # ---- p7: sources mixed to target weights
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", source_of(F.col("source")).alias("source"), "text")
+    docs = parallel(table(spark, sf_dir, "documents").select("doc_id", source_of(F.col("source")).alias("source"), "text"))
     return encode(docs.where("source IS NOT NULL"), "text", "byte_bpe_50k", keep=("doc_id", "source"))
 
 
@@ -112,7 +112,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", source_of(F.col("source")).alias("source"), "text")
+    d = parallel(table(spark, sf_dir, "documents").select("doc_id", source_of(F.col("source")).alias("source"), "text"))
     return truncated(d, "doc_id", "source", "text")
 
 
