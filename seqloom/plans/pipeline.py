@@ -12,6 +12,10 @@ from seqloom.operators.align import local_column, spread
 from seqloom.records import cut
 
 
+#: Bases between a flank and its gap.
+INSET = 5
+
+
 def find_gaps(scaffolds: DataFrame, least: int = 100) -> DataFrame:
     """Gaps of (ord, name, seq): rows (gap_id, scaffold, gap_start, gap_end, gap_len), ids of scaffold and gap ordinals.
 
@@ -52,11 +56,16 @@ def align_flanks(flanks: DataFrame, contigs: DataFrame, least: int = 30) -> Data
 
 
 def fill_round(flanks: DataFrame, reads: DataFrame, ks: list[int], least: int, least_score: int) -> DataFrame:
-    """One round for some gaps: assemble, merge, align flanks, pick. Rows (gap_id, fill)."""
+    """One round for some gaps: assemble, merge, align flanks, pick. Rows (gap_id, fill).
+
+    A picked fill begins behind the left flank and holds the first base of the right one; flanks lie ``INSET`` bases off the gap.
+    Those bases stand in the scaffold too, so they are cut off here for an exact splice.
+    """
     contigs = cut(assemble(reads, ks, least))
     merged = graph.merge_contigs(contigs, "gap_id", "name", "seq").select("gap_id", "name", "seq")
     every = cut(contigs.unionByName(merged))
-    return pick.pick_bridging(align_flanks(flanks, every, least_score), every.withColumnRenamed("name", "contig")).select("gap_id", "fill")
+    picked = pick.pick_bridging(align_flanks(flanks, every, least_score), every.withColumnRenamed("name", "contig"), 2 * INSET)
+    return picked.select("gap_id", F.substring("fill", F.lit(INSET + 1), F.length("fill") - (2 * INSET + 1)).alias("fill"))
 
 
 def fill_gaps(scaffolds: DataFrame, gaps: DataFrame, reads: DataFrame, ks: tuple[int, ...] = (31,), flank: int = 300, rounds: tuple[tuple[int, int], ...] = ((2, 30), (1, 15))) -> DataFrame:
