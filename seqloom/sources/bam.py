@@ -80,6 +80,7 @@ class BamSource(DataSource):
 
 def bam(spark: SparkSession, path: str) -> DataFrame:
     """The records of BAM files; ``path`` may be a pattern."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamSource)
     return spark.read.format("bam").load(path)
 
