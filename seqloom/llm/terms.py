@@ -156,7 +156,7 @@ def _from_disk(files: list[str], bits: int, width: int, folder: str) -> Iterator
 
         db = duckdb.connect(config={"memory_limit": "400MB", "threads": 1, "temp_directory": folder})
         try:
-            yield from (pa.Table.from_batches([b]) for b in db.execute("SELECT h, CAST(sum(o) AS BIGINT) AS o, CAST(sum(r) AS BIGINT) AS r FROM read_parquet(?) GROUP BY h", [files]).to_arrow_reader(1 << 18))
+            yield from (pa.Table.from_batches([b]) for b in db.sql("SELECT h, CAST(sum(o) AS BIGINT) AS o, CAST(sum(r) AS BIGINT) AS r FROM read_parquet(?) GROUP BY h", params=[files]).to_arrow_reader(1 << 18))
         finally:
             db.close()
         for f in files:
