@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.records import ship
+
 NONE = -(1 << 29)
 
 
@@ -238,6 +240,7 @@ def repeat_cover(a: str, b: str) -> int:
 
 def overlap_column(a: Column, b: Column, **options) -> Column:
     """struct<score, row, col, clip, ends_first, row_start, col_start, class, merged> of two sequence columns; null for a null one."""
+    ship()
 
     @F.pandas_udf("score int, row int, col int, clip int, ends_first boolean, row_start int, col_start int, class int, merged string")
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -256,6 +259,7 @@ def overlap_column(a: Column, b: Column, **options) -> Column:
 
 def local_column(a: Column, b: Column, **options) -> Column:
     """struct<score, first_start, first_end, second_start, second_end> of the best local alignment; null for a null sequence."""
+    ship()
 
     @F.pandas_udf("score int, first_start int, first_end int, second_start int, second_end int")
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:

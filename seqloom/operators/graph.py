@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.align import merged, overlap, revcomp, significance
-from seqloom.records import cut
+from seqloom.records import cut, ship
 
 Edges = dict[str, dict[str, float]]
 
@@ -178,6 +178,7 @@ def merge_contigs(contigs: DataFrame, group: str, name: str, seq: str, most_base
     A group whose sequences pass ``most_bases`` gets no merged sequences; its contigs stay as they are, as the reference's guard
     has it, so a group that is worked on is bounded. Null and empty sequences are left out; a null group is a group.
     """
+    ship(contigs.sparkSession)
     small = contigs.groupBy(group).agg(F.sum(F.length(seq)).alias("__bases")).where(F.col("__bases") <= most_bases)
     usable = contigs.where(F.length(seq) > 0).join(small.select(F.col(group).alias("__g")), F.col(group).eqNullSafe(F.col("__g")), "left_semi")
 

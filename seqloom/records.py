@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +13,33 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+def ship(spark: SparkSession | None = None) -> None:
+    """Makes this package known to the Python workers of the session, once; nothing to do where PYTHONPATH has it.
+
+    Functions that run in workers refer to the package by name. Spark's file server hands out the archive, so executors need no
+    shared file.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    package = os.path.dirname(os.path.abspath(__file__))
+    home = os.path.dirname(package)
+    sc = spark.sparkContext if spark else None
+    if sc is None or getattr(sc, "_seqloom_shipped", False):
+        return
+    sc._seqloom_shipped = True
+    if home in (os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="seqloom-"), "seqloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(package):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), home))
+    sc.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,8 +88,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
         already = sc._jsc.sc().getCheckpointDir()
         if already.isDefined():
             return already.get()
-        import tempfile
-
         folder = "file://" + tempfile.mkdtemp(prefix="seqloom-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
@@ -70,6 +96,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its rows written to the shared checkpoint folder, so that what follows survives lost executors."""
+    ship(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
