@@ -14,8 +14,11 @@ SHARD = 16_384
 LONG = 64
 
 
-def _starts(df: DataFrame, part: list[str]) -> DataFrame:
-    """Rows (part, a, b) to one row per maximal run: its a, its b, the end before it, and the greatest end of the part."""
+def merged_runs(df: DataFrame, part: list[str]) -> DataFrame:
+    """Rows (part, a, b) to one row per maximal run: its a, its b, the end before it, and the greatest end of the part.
+
+    For parts of bounded size: a part is sorted in one task. Ends are inclusive, runs that touch are one.
+    """
     before = Window.partitionBy(*part).orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*part)
     following = Window.partitionBy(*part).orderBy("a")
@@ -48,20 +51,20 @@ def coverage_periods(df: DataFrame, entity: Sequence[str], first: Column | str,
     spans = df.select(*[F.col(e).alias(n) for e, n in zip(entity, names, strict=True)], of(first).cast("long").alias("a"), of(last).cast("long").alias("b")).where("a <= b")
     spans = spans.withColumns({"s": F.floor(F.col("a") / shard).cast("long"), "t": F.floor(F.col("b") / shard).cast("long")})
 
-    def clipped(x: DataFrame) -> DataFrame:
+    def clipped(x: DataFrame, shards: Column) -> DataFrame:
         low = F.col("shard") * shard
-        return x.select(*names, "a", "b", F.explode(F.sequence("s", "t")).alias("shard")).select(*names, "shard", F.greatest("a", low).alias("a"), F.least("b", low + (shard - 1)).alias("b"))
+        return x.select(*names, "a", "b", F.explode(shards).alias("shard")).select(*names, "shard", F.greatest("a", low).alias("a"), F.least("b", low + (shard - 1)).alias("b"))
 
-    short = clipped(spans.where(f"t - s <= {LONG}"))
-    long = spans.where(f"t - s > {LONG}").withColumns({"x": F.array(F.struct(F.col("s"), F.col("a"), ((F.col("s") + 1) * shard - 1).alias("b")), F.struct(F.col("t").alias("s"), (F.col("t") * shard).alias("a"), F.col("b")))})
-    ends = long.select(*names, F.inline("x")).withColumnRenamed("s", "shard").select(*names, "shard", "a", "b")
+    # a long interval gives its two ends here
+    is_long = F.col("t") - F.col("s") > LONG
+    short = clipped(spans, F.when(is_long, F.array("s", "t")).otherwise(F.sequence("s", F.when(is_long, F.col("s")).otherwise(F.col("t")))))
     # whole shards in between: at most one start per shard and entity, merged to disjoint runs before they are written out
-    runs = long.groupBy(*names, ((F.col("s") + 1) * shard).alias("a")).agg(F.max(F.col("t") * shard - 1).alias("b"))
-    inner = clipped(_starts(runs, names).select(*names, "a", "b").withColumns({"s": F.floor(F.col("a") / shard).cast("long"), "t": F.floor(F.col("b") / shard).cast("long")}))
-    pieces = short.unionByName(ends).unionByName(inner).groupBy(*names, "shard", "a").agg(F.max("b").alias("b"))
+    runs = spans.where(is_long).groupBy(*names, ((F.col("s") + 1) * shard).alias("a")).agg(F.max(F.col("t") * shard - 1).alias("b"))
+    inner = clipped(merged_runs(runs, names).select(*names, "a", "b").withColumns({"s": F.floor(F.col("a") / shard).cast("long"), "t": F.floor(F.col("b") / shard).cast("long")}), F.sequence("s", "t"))
+    pieces = short.unionByName(inner).groupBy(*names, "shard", "a").agg(F.max("b").alias("b"))
 
     low, high = F.col("shard") * shard, F.col("shard") * shard + (shard - 1)
-    local = _starts(pieces, [*names, "shard"])
+    local = merged_runs(pieces, [*names, "shard"])
     inside = (F.col("a") > low) & (F.col("b") < high)
     row = lambda tag, a, b: F.struct(F.lit(tag).alias("tag"), a.alias("a"), b.alias("b"))
     a, b = F.col("a"), F.col("b")
@@ -73,7 +76,7 @@ def coverage_periods(df: DataFrame, entity: Sequence[str], first: Column | str,
         F.when(~inside, row("piece", a, b)),
         F.when(F.col("__end").isNull(), row("shard", a, F.col("__last"))),
     ), lambda x: x.isNotNull())))
-    stitched = _starts(border, [*names, "tag"]).where("tag = 'piece' OR __end IS NOT NULL")
+    stitched = merged_runs(border, [*names, "tag"]).where("tag = 'piece' OR __end IS NOT NULL")
     is_piece = F.col("tag") == "piece"
     stitched = stitched.select(*names, F.when(is_piece, "period").otherwise("gap").alias("tag"), F.when(is_piece, a).otherwise(F.col("__end") + 1).alias("a"), F.when(is_piece, b).otherwise(a - 1).alias("b"))
     return done.unionByName(stitched).select(*[F.col(n).alias(e) for n, e in zip(names, entity, strict=True)], F.col("tag").alias("kind"), F.col("a").alias("first_base"), F.col("b").alias("last_base"))
