@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.llm.spans import _mix
+from seqloom.records import ship
 
 #: Tokens of a block, and blocks of an output shard.
 BLOCK, SLOTS = 2048, 1024
@@ -86,6 +87,7 @@ def draws(spark, p: Plan) -> DataFrame:
     number of blocks in pass i div that number; every pass runs through all blocks in an order of its own. A slot beyond the
     last pass a source may have stays empty and has no row, so its share falls short, as the report says.
     """
+    ship(spark)
     counts_schema = pa.schema([("shard", pa.int64()), ("s", pa.int32()), ("c", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
