@@ -12,7 +12,6 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -215,8 +214,8 @@ def merge_sketches(sketches: DataFrame, keys: Sequence[str], k: int = K, parts:
     many tasks first, and a task never holds more than one sketch. ``parts``: how many tasks built the sketches at most.
     """
     parts = parts or int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for r in range(1, _rounds(parts)):
-        sketches = _fold(sketches, list(keys), F.floor(F.col("part") / FAN_IN) if r else F.col("part"), k, None)
+    for _ in range(1, _rounds(parts)):
+        sketches = _fold(sketches, list(keys), F.floor(F.col("part") / FAN_IN), k, None)
     return _fold(sketches, list(keys), F.lit(0), k, None)
 
 
