@@ -269,6 +269,27 @@ def local_column(a: Column, b: Column, **options) -> Column:
     return run(a, b)
 
 
+def comparisons_column(a: Column, b: Column) -> Column:
+    """struct of what the other alignments say of two sequences: global and linear-gap scores with their CIGARs, the first and second
+    local alignment (remainder rotated, or its better side), and the bases of ``b`` that ``a`` covers on either strand."""
+    ship()
+
+    @F.pandas_udf("global_score int, global_cigar string, sw_score int, sw_cigar string, first_score int, second_score int, side_score int, covered int")
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s, t in zip(x, y, strict=True):
+            if s is None or t is None:
+                rows.append((None,) * 8)
+                continue
+            g, w = global_cigar(s, t), smith_waterman(s, t)
+            first, second = local_twice(s, t)
+            rows.append((*g, w[0], w[3], first.score, second.score, local_twice(s, t, rotate=False)[1].score, repeat_cover(s, t)))
+        names = ["global_score", "global_cigar", "sw_score", "sw_cigar", "first_score", "second_score", "side_score", "covered"]
+        return pd.DataFrame(rows, columns=names).astype({n: "Int32" for n in names if "cigar" not in n})
+
+    return run(a, b)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out evenly: few bytes of pairs can be much work, which partitions sized by bytes don't see."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -73,7 +73,6 @@ def exact_mode(df: DataFrame, keys: Sequence[str], value: str, coarse_bits: int
     data, names = _keys_values(df, keys, value)
     coarse = data.groupBy(*names, F.shiftright("v", coarse_bits).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
     floor = coarse.groupBy(*names).agg(F.max("c").alias("top")).select(*[F.col(n) for n in names], F.ceil(F.col("top") / (1 << coarse_bits)).cast("long").alias("least"))
-    # a bin that holds more than half of its width in rows can't be closed by fewer; most bins of thin keys close here
     closed = coarse.alias("c").join(floor.alias("f"), _same(names, "c", "f")).where("c.c < f.least").select(*[F.col(f"c.{n}").alias(n) for n in names], F.col("c.bin").alias("bin"))
     rest = data.alias("d").join(closed.alias("x"), _same(names, "d", "x") & (F.shiftright(F.col("d.v"), coarse_bits) == F.col("x.bin")), "left_anti")
     fine = rest.groupBy(*[F.col(f"d.{n}").alias(n) for n in names], F.col("d.v").alias("v")).agg(F.count(F.lit(1)).alias("c"))

@@ -10,7 +10,7 @@ from seqloom.operators import aggregates as A
 from seqloom.operators import dedup as D
 from seqloom.operators import graph as G
 from seqloom.operators import kmers as K
-from seqloom.operators.align import local_column, verify_pairs
+from seqloom.operators.align import comparisons_column, local_column, spread, verify_pairs
 from seqloom.plans import pipeline as P
 from seqloom.queries.common import SQL_C, SQL_D, SQL_G, contigs, dna, gaps
 from seqloom.records import table
@@ -352,3 +352,29 @@ def scaffold_pairs(spark: SparkSession, d: str) -> DataFrame:
     x = c.withColumns({"r_name": F.lead("name").over(w), "r_pos": F.lead("pos").over(w)}).where("r_name IS NOT NULL")
     links = x.select(F.col("name").alias("l_name"), "r_name", F.lit("+").alias("l_ori"), F.lit("+").alias("r_ori"), F.lit(2).cast("long").alias("pairs"), F.least(F.col("r_pos") - F.col("pos") - F.length("seq"), F.lit(500)).cast("double").alias("mean_distance")).where("mean_distance > -100")
     return f(links, c.select("name", "seq"))
+
+
+@query()
+def compared_contigs(spark: SparkSession, d: str) -> DataFrame:
+    """D5 to D9, commands A and M: contigs of a gap that share k-mers, in part copies"""
+    c = _with_parts(spark, d).where("seq IS NOT NULL AND length(seq) <= 400")
+    pairs = K.shared_counts(c, "gap_id", "name", "seq").where("n >= 20").select("a", "b")
+    x, y = (c.select(F.col("name").alias(n), F.col("seq").alias(f"s_{n}")) for n in ("a", "b"))
+    return spread(pairs.join(x, "a").join(y, "b")).select("a", "b", comparisons_column(F.col("s_a"), F.col("s_b")).alias("o")).select("a", "b", "o.*")
+
+
+@query()
+def simple_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Maximal simple paths from every contig of a gap's candidate graph, at most 50 a root by definition of the report"""
+    import pandas as pd
+
+    edges = K.overlap_candidates(contigs(spark, d).where("gap_id IS NOT NULL"), "gap_id", "name", "seq").where("a < b")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        graph: G.Edges = {}
+        for a, b in zip(pdf["a"], pdf["b"], strict=True):
+            graph.setdefault(a, {})[b] = -1.0
+        rows = [(pdf["gap_id"].iloc[0], r, p) for r in sorted(graph) for p in G.simple_paths(r, graph)]
+        return pd.DataFrame(rows, columns=["gap_id", "root", "path"])
+
+    return edges.groupBy("gap_id").applyInPandas(run, "gap_id string, root string, path array<string>")
