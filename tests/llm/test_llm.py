@@ -310,5 +310,16 @@ def test_hot_bucket_gives_few_pairs(spark):
     assert 299 <= len({p.a for p in pairs} | {p.b for p in pairs}) <= 300 and len(pairs) <= 300 * C.BANDS * 2
 
 
+def test_a_cut_copy_meets_its_own_original(spark):
+    """The longest of the bucket is another variant; a copy cut inside its last word has as many words as its original; short texts."""
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, f"{base} x{i} y{i} z{i}") for i in range(40)] + [(50, f"{base} another one that is longer than they all are")]
+    rows += [(60, f"{base} x7 y7"), (70, "to be cut inside a word one two three"), (71, "to be cut inside a word one two three four"), (80, "so so so so so so"), (81, "so so so so so so so so")]
+    other = " ".join(f"u{i}" for i in range(100))
+    rows += [(90, f"{other} ending"), (91, f"{other} end")]
+    got = C.cut_copies(spark.createDataFrame(rows, "uid long, body string"))
+    assert sorted(r.uid for r in got.collect()) == [60, 70, 80, 91]
+
+
 def test_truncation_of_nothing(spark):
     assert C.truncated(spark.createDataFrame([], "id long, src string, text string"), "id", "src", "text").count() == 0
