@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,16 +98,27 @@ def paths(nodes: list[str], edges: Edges, k: int = 20) -> list[tuple[float, list
     return out
 
 
-def simple_paths(root: str, edges: Edges, most: int = 50, longest: int = 20) -> list[list[str]]:
-    """Maximal paths without a repeated node from a root, of at most ``longest`` nodes; ``most`` is the size of the report."""
+def simple_paths(root: str | list[str], edges: Edges, longest: int = 50, use: int = 20) -> list[list[str]]:
+    """Paths without a repeated node from a root, or from several, each as far as it can be extended.
+
+    The reference's two limits: a path has at most ``longest`` nodes, and a node that stands in more than ``use`` paths so far (the
+    roots' own count) isn't stepped to again. Paths grow by a node a round, all together, in the order of their names.
+    """
+    level = [[r] for r in ([root] if isinstance(root, str) else sorted(root))]
+    used = Counter(p[0] for p in level)
     out: list[list[str]] = []
-    stack = [[root]]
-    while stack and len(out) < most:
-        path = stack.pop()
-        following = [t for t in sorted(edges.get(path[-1], ()), reverse=True) if t not in path]
-        if not following or len(path) >= longest:
-            out.append(path)
-        stack += [[*path, t] for t in following if len(path) < longest]
+    while level:
+        longer = []
+        for path in level:
+            before = len(longer)
+            if len(path) < longest:
+                for t in sorted(edges.get(path[-1], ())):
+                    if used[t] <= use and t not in path:
+                        longer.append([*path, t])
+                        used[t] += 1
+            if len(longer) == before:
+                out.append(path)
+        level = longer
     return out
 
 

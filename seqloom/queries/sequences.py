@@ -365,7 +365,7 @@ def compared_contigs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def simple_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Maximal simple paths from every contig of a gap's candidate graph, at most 50 a root by definition of the report"""
+    """Simple paths from every contig of a gap's candidate graph, of 50 contigs at most and 20 uses of a contig, as in the reference"""
     import pandas as pd
 
     edges = K.overlap_candidates(contigs(spark, d).where("gap_id IS NOT NULL"), "gap_id", "name", "seq").where("a < b")
@@ -374,7 +374,8 @@ def simple_paths(spark: SparkSession, d: str) -> DataFrame:
         graph: G.Edges = {}
         for a, b in zip(pdf["a"], pdf["b"], strict=True):
             graph.setdefault(a, {})[b] = -1.0
-        rows = [(pdf["gap_id"].iloc[0], r, p) for r in sorted(graph) for p in G.simple_paths(r, graph)]
+        nodes = set(graph) | {b for after in graph.values() for b in after}
+        rows = [(pdf["gap_id"].iloc[0], p[0], p) for p in G.simple_paths(sorted(nodes), graph)]
         return pd.DataFrame(rows, columns=["gap_id", "root", "path"])
 
     return edges.groupBy("gap_id").applyInPandas(run, "gap_id string, root string, path array<string>")

@@ -85,6 +85,16 @@ def test_components_and_paths():
     assert G.drop_parts([(0, ["a", "b"]), (0, ["x", "a", "b"])]) == [(0, ["x", "a", "b"])]
 
 
+def test_simple_paths_have_the_limits_of_the_reference():
+    """50 nodes a path, some 20 uses of a node, any number of paths a root."""
+    chain = {f"{i:02}": {f"{i + 1:02}": -1.0} for i in range(70)}
+    assert G.simple_paths("00", chain) == [[f"{i:02}" for i in range(50)]]
+    star = {"a": {f"b{i:02}": -1.0 for i in range(60)}} | {f"b{i:02}": {"c": -1.0} for i in range(60)}
+    got = G.simple_paths("a", star)
+    assert len(got) == 60 and {p[1] for p in got} == set(star["a"]) and sum("c" in p for p in got) == 21
+    assert G.simple_paths(["a", "b", "c"], {"a": {"b": -1.0}, "b": {"c": -1.0}}) == [["c"], ["b", "c"], ["a", "b", "c"]]
+
+
 def test_merging_contigs(spark):
     rng = random.Random(3)
     whole = "".join(rng.choice("ACGT") for _ in range(300))
