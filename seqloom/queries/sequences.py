@@ -115,6 +115,25 @@ def shifted_kmers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "kmer_nodes").where("kmer IS NOT NULL").select(F.substring("kmer", 1, 6).alias("kmer")).distinct().select("kmer", F.explode(S.shifted(F.col("kmer"))).alias("shifted"))
 
 
+def _whole_kmers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "kmer_nodes").where("kmer IS NOT NULL").select("kmer").distinct()
+
+
+@query()
+def whole_neighbour_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """F12 on the whole k-mers: every place is changed (``neighbour_kmers`` has the first 6 letters only, as its SQL)"""
+    x = _whole_kmers(spark, d).select("kmer", F.explode(S.neighbours(F.col("kmer"))).alias("neighbour"))
+    # the changed place: a letter other than A, C, G and T has four neighbours, so it isn't told by the neighbour's number
+    place = "filter(sequence(1, length(kmer)), i -> substring(kmer, i, 1) <> substring(neighbour, i, 1))[0]"
+    return x.select("kmer", F.expr(f"left(neighbour, {place})").alias("changed_start"), "neighbour")
+
+
+@query()
+def whole_shifted_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """F12 on the whole k-mers (``shifted_kmers`` has the first 6 letters only, as its SQL)"""
+    return _whole_kmers(spark, d).select("kmer", F.explode(S.shifted(F.col("kmer"))).alias("shifted"))
+
+
 FREQUENT = "q AS (SELECT kmer, count(*) AS freq FROM kmer_nodes WHERE kmer IS NOT NULL GROUP BY kmer HAVING count(*) >= 2)"
 
 
