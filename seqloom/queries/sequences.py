@@ -255,6 +255,12 @@ def consensus_heads(spark: SparkSession, d: str) -> DataFrame:
     return A.consensus(c, "rname", "head", "mapq")
 
 
+@query()
+def whole_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """A12 on a scaffold's whole contigs of any length; a contig has no vote behind its end (``consensus_heads`` has 30 bases, as its SQL)"""
+    return A.consensus(contigs(spark, d).where("seq IS NOT NULL AND rname IS NOT NULL").select("rname", "seq", "mapq"), "rname", "seq", "mapq")
+
+
 @query(f"""WITH {GAPS_SQL}, k AS (SELECT ord, gap_start, gap_end, row_number() OVER (PARTITION BY ord ORDER BY gap_start) AS n FROM f), e AS (SELECT *, coalesce(lag(gap_end) OVER (PARTITION BY ord ORDER BY n), 0) AS before FROM k WHERE n % 2 = 1),
 p AS (SELECT ord, string_agg(substr(seq, before + 1, gap_start - before) || 'TTT', '' ORDER BY n) AS head, max(gap_end) AS tail FROM e JOIN d USING (ord) GROUP BY ord) SELECT d.ord, coalesce(head, '') || substr(seq, coalesce(tail, 0) + 1) AS seq FROM d LEFT JOIN p USING (ord)""")
 def spliced_sequences(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,14 @@ from seqloom.queries import sequences as Q
 T0 = datetime.datetime(2024, 1, 1)
 
 
+def folder(spark, tmp_path, rows):
+    """contig_alns of rows (rec_id, gap_id, rname, pos, mapq, seq)."""
+    full = [(i, f"q{i}", g, 0, r, p, q, "*", s, T0) for i, g, r, p, q, s in rows]
+    schema = "rec_id long, qname string, gap_id string, flag int, rname string, pos int, mapq int, cigar string, seq string, loaded_at timestamp_ntz"
+    spark.createDataFrame(full, schema).write.parquet(str(tmp_path / "contig_alns.parquet"))
+    return str(tmp_path)
+
+
 def test_whole_kmers_are_changed_at_every_place(spark, tmp_path):
     """k-mers that are alike in their first letters stay apart."""
     kmers = ["ACGTACGTACGTACG", "ACGTACGTNCGTACT", "ACGTACGTNCGTACT", None]
@@ -16,3 +24,9 @@ def test_whole_kmers_are_changed_at_every_place(spark, tmp_path):
     assert len(got) == 91 and set(got) == changed(kmers[0]) | changed(kmers[1])
     got = sorted(tuple(r) for r in Q.whole_shifted_kmers(spark, str(tmp_path)).collect())
     assert got == sorted((k, x) for k in kmers[:2] for b in "ACGT" for x in (k[1:] + b, b + k[:-1]))
+
+
+def test_consensus_of_whole_contigs(spark, tmp_path):
+    """Bases behind the 30th, and contigs under 30 bases, count."""
+    d = folder(spark, tmp_path, [(1, "g", "s", 1, 60, "A" * 40 + "CCC"), (2, "g", "s", 1, 20, "C" * 45), (3, "h", "s", 1, 50, "CG"), (4, "h", "t", 1, 0, "acg"), (5, "h", "t", 1, 9, "*"), (6, "h", None, 1, 9, "TTT")])
+    assert {r.rname: r.consensus for r in Q.whole_consensus(spark, d).collect()} == {"s": "C" + "A" * 39 + "C" * 5, "t": "ACG"}
