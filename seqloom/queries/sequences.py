@@ -367,7 +367,7 @@ def gap_unitigs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def scaffold_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """G10, command S: contigs of neighbouring gaps linked by their scaffold, at their distance there"""
+    """G10, command S: contigs that follow each other on their scaffold, at their distance there, whatever it is"""
     from pyspark.sql.window import Window
 
     from seqloom.operators.scaffold import scaffold_pairs as f
@@ -375,7 +375,7 @@ def scaffold_pairs(spark: SparkSession, d: str) -> DataFrame:
     c = contigs(spark, d).where("seq IS NOT NULL AND rname IS NOT NULL AND pos >= 1")
     w = Window.partitionBy("rname").orderBy("pos", "name")
     x = c.withColumns({"r_name": F.lead("name").over(w), "r_pos": F.lead("pos").over(w)}).where("r_name IS NOT NULL")
-    links = x.select(F.col("name").alias("l_name"), "r_name", F.lit("+").alias("l_ori"), F.lit("+").alias("r_ori"), F.lit(2).cast("long").alias("pairs"), F.least(F.col("r_pos") - F.col("pos") - F.length("seq"), F.lit(500)).cast("double").alias("mean_distance")).where("mean_distance > -100")
+    links = x.select(F.col("name").alias("l_name"), "r_name", F.lit("+").alias("l_ori"), F.lit("+").alias("r_ori"), F.lit(2).cast("long").alias("pairs"), (F.col("r_pos") - F.col("pos") - F.length("seq")).cast("double").alias("mean_distance"))
     return f(links, c.select("name", "seq"))
 
 

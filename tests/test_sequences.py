@@ -1,6 +1,7 @@
 """Queries over sequences on small tables."""
 
 import datetime
+import random
 
 from seqloom.queries import sequences as Q
 
@@ -30,3 +31,13 @@ def test_consensus_of_whole_contigs(spark, tmp_path):
     """Bases behind the 30th, and contigs under 30 bases, count."""
     d = folder(spark, tmp_path, [(1, "g", "s", 1, 60, "A" * 40 + "CCC"), (2, "g", "s", 1, 20, "C" * 45), (3, "h", "s", 1, 50, "CG"), (4, "h", "t", 1, 0, "acg"), (5, "h", "t", 1, 9, "*"), (6, "h", None, 1, 9, "TTT")])
     assert {r.rname: r.consensus for r in Q.whole_consensus(spark, d).collect()} == {"s": "C" + "A" * 39 + "C" * 5, "t": "ACG"}
+
+
+def test_scaffold_pairs_have_their_real_distances(spark, tmp_path):
+    """A gap of over 500 bases keeps its length; an overlap of over 100 is checked, and stays if it is one."""
+    rng = random.Random(4)
+    x, far = ("".join(rng.choice("ACGT") for _ in range(n)) for n in (200, 40))
+    y = x[50:] + far
+    d = folder(spark, tmp_path, [(1, "g", "s", 1, 60, x), (2, "g", "s", 51, 60, y), (3, "g", "s", 2241, 60, far), (4, "g", "t", 1, 60, "A" * 200), (5, "g", "t", 51, 60, "C" * 200)])
+    got = {(r.l_name, r.r_name): (r.distance, r.seq) for r in Q.scaffold_pairs(spark, d).collect()}
+    assert got == {("c000000001", "c000000002"): (-150, x + far), ("c000000002", "c000000003"): (2000, y + "N" * 2000 + far)}
