@@ -381,9 +381,9 @@ def scaffold_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def compared_contigs(spark: SparkSession, d: str) -> DataFrame:
-    """D5 to D9, commands A and M: contigs of a gap that share k-mers, in part copies"""
-    c = _with_parts(spark, d).where("seq IS NOT NULL AND length(seq) <= 400")
-    pairs = K.shared_counts(c, "gap_id", "name", "seq").where("n >= 20").select("a", "b")
+    """D5 to D9, commands A and M: contigs of a gap, of any length, that share at least one 15-mer, in part copies"""
+    c = _with_parts(spark, d).where("seq IS NOT NULL")
+    pairs = K.shared_counts(c, "gap_id", "name", "seq").select("a", "b")
     x, y = (c.select(F.col("name").alias(n), F.col("seq").alias(f"s_{n}")) for n in ("a", "b"))
     return spread(pairs.join(x, "a").join(y, "b")).select("a", "b", comparisons_column(F.col("s_a"), F.col("s_b")).alias("o")).select("a", "b", "o.*")
 

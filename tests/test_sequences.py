@@ -41,3 +41,12 @@ def test_scaffold_pairs_have_their_real_distances(spark, tmp_path):
     d = folder(spark, tmp_path, [(1, "g", "s", 1, 60, x), (2, "g", "s", 51, 60, y), (3, "g", "s", 2241, 60, far), (4, "g", "t", 1, 60, "A" * 200), (5, "g", "t", 51, 60, "C" * 200)])
     got = {(r.l_name, r.r_name): (r.distance, r.seq) for r in Q.scaffold_pairs(spark, d).collect()}
     assert got == {("c000000001", "c000000002"): (-150, x + far), ("c000000002", "c000000003"): (2000, y + "N" * 2000 + far)}
+
+
+def test_contigs_of_any_length_are_compared(spark, tmp_path):
+    """Contigs over 400 bases, and pairs that share a single 15-mer."""
+    rng = random.Random(6)
+    x, seed, before, behind = ("".join(rng.choice("ACGT") for _ in range(n)) for n in (500, 15, 40, 40))
+    d = folder(spark, tmp_path, [(1, "g", "s", 1, 60, x), (2, "g", "s", 1, 60, x[:450]), (4, "h", "s", 1, 60, before + seed), (5, "h", "s", 1, 60, seed + behind)])
+    got = {(r.a, r.b): r.first_score for r in Q.compared_contigs(spark, d).collect()}
+    assert got["c000000001", "c000000002"] == 450 and got["c000000004", "c000000005"] == 15
