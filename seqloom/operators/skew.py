@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from seqloom.records import cut, few
+
 #: Bits of the value resolved in one round, so a key's histogram has at most 2 ** BITS bins per open rank.
 BITS = 8
 
@@ -28,53 +30,78 @@ def _same(names: list[str], left: str, right: str):
     return cond
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], width: int = 32) -> DataFrame:
-    """Exact quantiles of an integer column for every key: rows (keys..., q, value, n).
+def _counted(data: DataFrame, names: list[str]) -> DataFrame:
+    """One row (keys..., v, c) per different value of a key, combined on the map side: all later rounds work on these."""
+    return cut(data.groupBy(*names, "v").agg(F.count(F.lit(1)).alias("c")))
 
-    The quantile of rank max(1, ceil(q * n)) of n values is an element of the data (the inverse of the empirical distribution).
-    Rounds of value histograms with mergeable counts: each round counts, map-side combined, the values of the one open bin per
-    (key, q) by the next ``BITS`` bits and keeps the bin that holds the rank, until a bin is one value. A key's values are never
-    brought together: a round moves at most 2 ** BITS counts per key, q and map task.
 
-    ``width``: bits of the values, which must lie in [-2**(width-1), 2**(width-1)). Null values are left out; a null key is a
-    key of its own; ties and repeated rows count as often as they occur; an empty table gives no rows.
+def _beside(counts: DataFrame, bins: DataFrame, names: list[str], more) -> DataFrame:
+    """``counts`` (c) joined with the few rows a key has in ``bins`` (o). Where those are too many to be broadcast, they are repeated
+    for as many salts as there are partitions, so a key with many different values is spread over all of them."""
+    small = few(bins)
+    cond = _same(names, "c", "o") & more
+    if small is not bins:
+        return counts.alias("c").join(small.alias("o"), cond)
+    salts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = bins.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return counts.withColumn("__salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).alias("c").join(salted.alias("o"), cond & (F.col("c.__salt") == F.col("o.__salt")))
+
+
+def _select(counts: DataFrame, names: list[str], probabilities: Sequence[float], bits: int = BITS) -> DataFrame:
+    """The value of every rank: rows (keys..., q, v, n) of counted values (keys..., v, c), by rounds of histograms.
+
+    Only the bits in which the values differ are gone through, ``bits`` (0: ``BITS``) a round. A round adds up, on the map side, the counts of the
+    one open bin per (key, q) by its next bits and keeps the bin that holds the rank, until a bin is one value.
     """
-    data, names = _keys_values(df, keys, value)
-    offset = 1 << (width - 1)
-    data = data.withColumn("v", F.col("v") + offset)
-    shift = width
+    low, high = counts.agg(F.min("v"), F.max("v")).first()
+    shift = (high - low).bit_length() if low is not None else 0
+    counts = counts.withColumn("v", F.col("v") - (low or 0))
     open_bins: DataFrame | None = None
-    while shift > 0:
-        shift = max(0, shift - BITS)
+    while open_bins is None or shift > 0:
+        closed, shift = shift, max(0, shift - (bits or BITS))
         if open_bins is None:
-            bins = data.groupBy(*names, F.shiftright("v", shift).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+            bins = counts.groupBy(*names, F.shiftright("v", shift).alias("bin")).agg(F.sum("c").alias("c"))
             total = bins.withColumn("n", F.sum("c").over(Window.partitionBy(*names)))
             ranks = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.greatest(F.lit(1), F.ceil(F.lit(float(q)) * F.col("n"))).cast("long").alias("rank")) for q in probabilities])
-            counts = total.select(*names, "bin", "c", "n", F.inline(ranks))
+            parts = total.select(*names, "bin", "c", "n", F.inline(ranks))
         else:
-            near = F.shiftright(F.col("d.v"), shift + BITS if shift or width % BITS == 0 else width % BITS)
-            joined = data.alias("d").join(open_bins.alias("o"), _same(names, "d", "o") & (near == F.col("o.bin")))
-            counts = joined.groupBy(*[F.col(f"o.{n}").alias(n) for n in names], F.col("o.q").alias("q"), F.col("o.rank").alias("rank"), F.col("o.n").alias("n"), F.shiftright(F.col("d.v"), shift).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+            joined = _beside(counts, open_bins, names, F.shiftright(F.col("c.v"), closed) == F.col("o.bin"))
+            parts = joined.groupBy(*[F.col(f"o.{n}").alias(n) for n in names], F.col("o.q").alias("q"), F.col("o.rank").alias("rank"), F.col("o.n").alias("n"), F.shiftright(F.col("c.v"), shift).alias("bin")).agg(F.sum("c.c").alias("c"))
         upto = Window.partitionBy(*names, "q").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        open_bins = counts.withColumn("upto", F.sum("c").over(upto)).where("upto >= rank AND upto - c < rank").select(*names, "q", "n", "bin", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
-    return _named(open_bins.withColumn("value", F.col("bin") - offset), keys, names, "q", "value", "n")
+        open_bins = parts.withColumn("upto", F.sum("c").over(upto)).where("upto >= rank AND upto - c < rank").select(*names, "q", "n", "bin", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"))
+        if shift:
+            open_bins = cut(open_bins)
+    return open_bins.select(*names, "q", (F.col("bin") + (low or 0)).alias("v"), "n")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """Exact quantiles of an integer column for every key: rows (keys..., q, value, n).
+
+    The quantile of rank max(1, ceil(q * n)) of n values is an element of the data (the inverse of the empirical distribution).
+    Equal values of a key are one counted row before anything is moved; then rounds of histograms with mergeable counts refine the
+    bin that holds each rank until it is one value. A key's values are never brought together: a round moves at most
+    2 ** BITS counts per key, q and map task.
+
+    Null values are left out; a null key is a key of its own; ties and repeated rows count as often as they occur; an empty table
+    gives no rows.
+    """
+    data, names = _keys_values(df, keys, value)
+    return _named(_select(_counted(data, names), names, probabilities).withColumnRenamed("v", "value"), keys, names, "q", "value", "n")
 
 
-def exact_mode(df: DataFrame, keys: Sequence[str], value: str, coarse_bits: int = 6) -> DataFrame:
+def exact_mode(df: DataFrame, keys: Sequence[str], value: str, bits: int = BITS) -> DataFrame:
     """For every key the value with most rows, the smallest of ties, and its count: rows (keys..., value, n).
 
-    The same refinement of mergeable histograms, with bounds in the place of ranks. A bin's count bounds the count of any value
-    in it from above, and its mean per value, rounded up, bounds the best value of the key from below. Bins of 2**coarse_bits
-    values whose upper bound is under their key's lower bound are closed; the values of the others are counted one by one.
-    Counts are combined on the map side in both rounds, and no key's rows are brought together.
+    Two exact selections on the counted values: the greatest rank among the counts of a key's different values is how often
+    its commonest value occurs; the lowest rank among the values that occur so often is the mode. Both ranks are resolved
+    by the rounds of histograms of :func:`exact_quantiles`; no key's rows or values are brought together.
 
-    Null values are left out; a null key is a key of its own; an empty table gives no rows.
+    ``bits``: bits of a round. Null values are left out; a null key is a key of its own; an empty table gives no rows.
     """
     data, names = _keys_values(df, keys, value)
-    coarse = data.groupBy(*names, F.shiftright("v", coarse_bits).alias("bin")).agg(F.count(F.lit(1)).alias("c"))
-    floor = coarse.groupBy(*names).agg(F.max("c").alias("top")).select(*[F.col(n) for n in names], F.ceil(F.col("top") / (1 << coarse_bits)).cast("long").alias("least"))
-    closed = coarse.alias("c").join(floor.alias("f"), _same(names, "c", "f")).where("c.c < f.least").select(*[F.col(f"c.{n}").alias(n) for n in names], F.col("c.bin").alias("bin"))
-    rest = data.alias("d").join(closed.alias("x"), _same(names, "d", "x") & (F.shiftright(F.col("d.v"), coarse_bits) == F.col("x.bin")), "left_anti")
-    fine = rest.groupBy(*[F.col(f"d.{n}").alias(n) for n in names], F.col("d.v").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    best = fine.groupBy(*names).agg(F.max(F.struct(F.col("c"), (-F.col("v")).alias("neg"))).alias("m"))
-    return _named(best.select(*names, (-F.col("m.neg")).alias("value"), F.col("m.c").alias("n")), keys, names, "value", "n")
+    counts = _counted(data, names)
+    most = cut(_select(counts.select(*names, F.col("c").alias("v"), F.lit(1).cast("long").alias("c")), names, [1.0], bits).select(*names, F.col("v").alias("most")))
+    modes = cut(_beside(counts, most, names, F.col("c.c") == F.col("o.most")).select(*[F.col(f"c.{n}").alias(n) for n in names], F.col("c.v").alias("v"), F.lit(1).cast("long").alias("c"), "most"))
+    first = cut(_select(modes, names, [0.0], bits).select(*names, "v"))
+    out = _beside(modes, first, names, F.col("c.v") == F.col("o.v"))
+    return _named(out.select(*[F.col(f"c.{n}").alias(n) for n in names], F.col("c.v").alias("value"), F.col("most").alias("n")), keys, names, "value", "n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import cigar as C
 from seqloom.operators.intervals import coverage_periods
 from seqloom.operators.skew import exact_mode, exact_quantiles
-from seqloom.records import cut, latest, reference_name, table
+from seqloom.records import latest, reference_name, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +23,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rname and pos of every record that has both. Every round of the selection reads them, so they are written once."""
-    a = latest(table(spark, sf_dir, "alignments"), "aln_id", ["rname", "pos"])
-    return cut(a.select(reference_name(F.col("rname")).alias("rname"), "pos").where("rname IS NOT NULL AND pos >= 1"))
+    """rname and pos of every record that has both; all deliveries of a record have the same."""
+    a = latest(table(spark, sf_dir, "alignments"), "aln_id", ["rname", "pos"], where="pos >= 1")
+    return a.select(reference_name(F.col("rname")).alias("rname"), "pos").where("rname IS NOT NULL")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Sequence
 
@@ -43,13 +45,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def latest(df: DataFrame, key: str, columns: Sequence[str], order: str = "loaded_at") -> DataFrame:
+def latest(df: DataFrame, key: str, columns: Sequence[str], order: str = "loaded_at", where: Column | str | None = None) -> DataFrame:
     """One row per ``key``, the one with the greatest ``order``, with ``columns``.
 
     Records that are delivered again share their key. Deliveries with equal ``order`` are told apart by a hash of their
     columns, so the choice doesn't depend on how the rows are spread. A row without a key can't be another delivery of any
     record, so each such row is kept; an empty table gives an empty one. Only ``key``, ``order`` and ``columns`` are read.
+
+    ``where`` is asked of every delivery before one is chosen, so it reaches the scan and fewer rows are moved. That is the same
+    as asking it afterwards only where all deliveries of a record agree in what it asks for.
     """
+    if where is not None:
+        df = df.where(where)
     alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
     keep = [c for c in dict.fromkeys(columns) if c not in (key, order)]
     w = Window.partitionBy("__key", "__alone").orderBy(F.col("__order").desc_nulls_last(), "__tie")
@@ -80,25 +87,62 @@ def parallel(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session, set to a local one only where none is set (tests, single machine)."""
-    sc = spark.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or the one the session was given. Only a local master, which has
+    no other machine, gets a temporary one where none is set; on a cluster that is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if folder:
+        return folder.rstrip("/")
+    sc = spark.sparkContext
+    already = sc._jsc.sc().getCheckpointDir()
+    if not already.isDefined():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="seqloom-"))
         already = sc._jsc.sc().getCheckpointDir()
-        if already.isDefined():
-            return already.get()
-        folder = "file://" + tempfile.mkdtemp(prefix="seqloom-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its rows written to the shared checkpoint folder, so that what follows survives lost executors."""
-    ship(df.sparkSession)
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return already.get().rstrip("/")
+
+
+#: Tables written by :func:`cut`: (session, path, weak reference to the relation that reads it).
+_written: list[tuple[SparkSession, str, object]] = []
+
+
+def _drop_unused(every: bool = False) -> None:
+    """Removes the written tables that no plan reads any more; ``every``: all of them."""
+    for entry in list(_written):
+        spark, path, ref = entry
+        try:
+            if every or ref.get() is None:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+                _written.remove(entry)
+        except Exception:  # the session is gone, and its folder is no concern of a later one
+            _written.remove(entry)
+
+
+atexit.register(_drop_unused, True)
+
+
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written as a table to the shared folder and read from there, so that what follows survives lost executors.
+
+    The table is columnar, so later steps read only the columns they use; with ``by`` it is laid out in a folder per value. It is
+    removed at a later call once no plan reads it, or at the end of the program.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    _drop_unused()
+    path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    relation = out._jdf.queryExecution().analyzed().relation()
+    _written.append((spark, path, spark._jvm.java.lang.ref.WeakReference(relation)))
+    return out
+
+
+def few(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """``df``, a written table, marked for broadcasting if it has at most ``most`` rows; else Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:

@@ -6,7 +6,10 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from seqloom.operators.skew import exact_mode, exact_quantiles
+from pyspark.sql import functions as F
+
+from seqloom.operators import skew
+from seqloom.operators.skew import _counted, _keys_values, exact_mode, exact_quantiles
 
 
 def rows(seed, n=600):
@@ -42,3 +45,24 @@ def test_mode(spark, bits):
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, v long")
     assert exact_quantiles(df, ["k"], "v", [0.5]).count() == 0 and exact_mode(df, ["k"], "v").count() == 0
+
+
+def test_one_key_and_value_hold_half_of_all_rows(spark):
+    """Rows are counted before they are moved: no task gets more than the different values."""
+    hot = spark.range(40_000).select(F.lit("hot").alias("k"), F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id") % 500).cast("long").alias("v"))
+    df = hot.unionByName(spark.range(40_000).select(F.concat(F.lit("k"), (F.col("id") % 50).cast("string")).alias("k"), (F.col("id") % 300).alias("v")))
+    assert {r["k"]: (r["value"], r["n"]) for r in exact_mode(df, ["k"], "v").collect()}["hot"] == (5, 20_080)
+    counts = _counted(*_keys_values(df, ["k"], "v"))
+    assert max(counts.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()) < 4_000
+
+
+
+def test_many_keys_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(skew, "few", lambda df: df)
+    data = rows(5)
+    df = spark.createDataFrame(data, "k string, v long")
+    by = defaultdict(list)
+    for k, v in data:
+        if v is not None:
+            by[k].append(v)
+    assert {(r["k"], r["value"]) for r in exact_quantiles(df, ["k"], "v", [0.5]).collect()} == {(k, sorted(vs)[max(1, math.ceil(0.5 * len(vs))) - 1]) for k, vs in by.items()}
