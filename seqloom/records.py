@@ -123,17 +123,16 @@ def _drop_unused(every: bool = False) -> None:
 atexit.register(_drop_unused, True)
 
 
-def cut(df: DataFrame, *by: str) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the shared folder and read from there, so that what follows survives lost executors.
 
-    The table is columnar, so later steps read only the columns they use; with ``by`` it is laid out in a folder per value. It is
-    removed at a later call once no plan reads it, or at the end of the program.
+    The table is columnar, so later steps read only the columns they use. It is removed at a later call once no plan reads it, or at the end of the program.
     """
     spark = df.sparkSession
     ship(spark)
     _drop_unused()
     path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     relation = out._jdf.queryExecution().analyzed().relation()
     _written.append((spark, path, spark._jvm.java.lang.ref.WeakReference(relation)))
