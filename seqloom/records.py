@@ -144,5 +144,19 @@ def few(df: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def beside(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", by: str = "uid") -> DataFrame:
+    """A join with ``right``, which has one row per key, where a key may hold a third of ``left``.
+
+    Broadcast if ``right``, a written table or a filter on one, is small; else ``right`` is repeated for as many salts as there are
+    partitions, and ``left`` is dealt out to them by its column ``by``.
+    """
+    small = few(right)
+    if small is not right:
+        return left.join(small, list(on), how)
+    salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, [*on, "__salt"], how).drop("__salt")
+
+
 def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
