@@ -139,7 +139,11 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def few(df: DataFrame, most: int = 20_000) -> DataFrame:
+#: Rows that are broadcast at most.
+FEW = 20_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
     """``df``, a written table, marked for broadcasting if it has at most ``most`` rows; else Spark joins it as it sees fit."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
@@ -147,13 +151,16 @@ def few(df: DataFrame, most: int = 20_000) -> DataFrame:
 def beside(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", by: str = "uid") -> DataFrame:
     """A join with ``right``, which has one row per key, where a key may hold a third of ``left``.
 
-    Broadcast if ``right``, a written table or a filter on one, is small; else ``right`` is repeated for as many salts as there are
-    partitions, and ``left`` is dealt out to them by its column ``by``.
+    ``right`` is a written table or a filter on one. It is broadcast if it is small; if it is of middling size, every row of it is
+    repeated for up to 16 salts, to which ``left`` is dealt out by its column ``by``; a larger one is joined as it is, and partitions
+    of hot keys are split by adaptive execution.
     """
-    small = few(right)
-    if small is not right:
-        return left.join(small, list(on), how)
-    salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = right.count()
+    if n <= FEW:
+        return left.join(F.broadcast(right), list(on), how)
+    salts = min(16, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if n > 100 * FEW:
+        return left.join(right, list(on), how)
     salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, [*on, "__salt"], how).drop("__salt")
 
