@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.mixing import mix, plan, report, source_of
 from seqloom.llm.sketch import build_sketches, merge_sketches, query_sketches
-from seqloom.llm.spans import shared_spans
+from seqloom.llm.spans import shared_classes, shared_spans
 from seqloom.llm.terms import term_frequency
 from seqloom.llm.tokens import encode
 from seqloom.llm.truncation import truncated
@@ -33,6 +33,11 @@ def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.join(spans, "rec_id", "left").select("rec_id", F.col("bases").cast("long").alias("bases"), F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), F.coalesce("spans", F.lit(0)).cast("long").alias("spans"))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every contig that shares a verified stretch with another, and its number of links."""
+    return shared_classes(_contigs(spark, sf_dir), "rec_id", "seq", 48)
+
+
 # ---- p4: percentiles of tlen
 
 
@@ -130,6 +135,7 @@ def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_shared": p3_shared,
+    "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_quantiles": p4_quantiles,
     "p4_by_bam": p4_by_bam,

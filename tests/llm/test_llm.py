@@ -13,7 +13,7 @@ from seqloom.llm import sketch as Q
 from seqloom.llm import terms as T
 from seqloom.llm import tokens as K
 from seqloom.llm import truncation as C
-from seqloom.llm.spans import shared_spans
+from seqloom.llm.spans import shared_classes, shared_spans, verified_spans
 
 # ---- spans
 
@@ -37,7 +37,7 @@ def brute_spans(seqs, least):
     return out
 
 
-@pytest.mark.parametrize("least", [21, 24, 48, 62])
+@pytest.mark.parametrize("least", [21, 24, 48, 62, 90])
 def test_spans(spark, least):
     rng = random.Random(least)
     base = "".join(rng.choice("ACGT") for _ in range(400))
@@ -59,7 +59,37 @@ def test_spans(spark, least):
 def test_spans_of_nothing(spark):
     assert shared_spans(spark.createDataFrame([], "rec long, s string"), "rec", "s").count() == 0
     with pytest.raises(ValueError, match="least"):
-        shared_spans(spark.createDataFrame([], "rec long, s string"), "rec", "s", 63)
+        shared_spans(spark.createDataFrame([], "rec long, s string"), "rec", "s", 20)
+
+
+def test_recall_of_banding_and_classes(spark):
+    """Families of variants of one sequence: most shared bases come from banding and verification, the rest from the completion."""
+    rng = random.Random(9)
+    seqs, family = {}, {}
+    for f in range(30):
+        base = "".join(rng.choice("ACGT") for _ in range(600))
+        for v in range(rng.randint(1, 8)):
+            s, a = list(base), rng.randint(0, 200)
+            for _ in range(rng.randint(0, 4)):
+                s[rng.randrange(600)] = rng.choice("ACGT")
+            seqs[len(seqs)] = "".join(s)[a : a + rng.randint(200, 400)]
+            family[len(seqs) - 1] = f
+    df = spark.createDataFrame(list(seqs.items()), "rec long, s string")
+    bases = lambda rows: {(r[0], x) for r in rows for x in range(r[1], r[1] + r[2])}
+    exact, first = bases(brute_spans(seqs, 48)), bases(verified_spans(df, "rec", "s").collect())
+    print("recall of banding", len(first) / len(exact))
+    assert first <= exact and len(first) >= 0.9 * len(exact) and bases(shared_spans(df, "rec", "s").collect()) == exact
+    classes = {r["rec"]: r for r in shared_classes(df, "rec", "s").collect()}
+    assert set(classes) == {r for r, _ in first} and all(r["links"] >= 1 for r in classes.values())
+    assert all(family[r["class"]] == family[rec] and r["class"] <= rec for rec, r in classes.items())
+
+
+def test_a_stretch_that_a_third_of_all_records_hold(spark):
+    rng = random.Random(4)
+    hot = "".join(rng.choice("ACGT") for _ in range(60))
+    seqs = {i: ("".join(rng.choice("ACGT") for _ in range(70)) + (hot if i % 3 == 0 else "") + "".join(rng.choice("ACGT") for _ in range(30))) for i in range(900)}
+    got = {tuple(r) for r in shared_spans(spark.createDataFrame(list(seqs.items()), "rec long, s string"), "rec", "s").collect()}
+    assert got == brute_spans(seqs, 48) and len(got) == 300
 
 
 # ---- sketches
