@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.llm.spans import _mix
+from seqloom.operators.ordered import scan
 from seqloom.records import ship
 
 #: Tokens of a block, and blocks of an output shard.
 BLOCK, SLOTS = 2048, 1024
+#: Where the total is small, blocks shrink so that it is about so many of them, but not below so many tokens.
+BLOCKS, LEAST_BLOCK = 20_000, 16
 #: Rows of the table of targets; it is held on the driver, so a larger one is refused.
 MOST_SOURCES = 10_000
 
@@ -46,16 +49,67 @@ class Plan:
     """What is drawn, known from the sources' totals alone: a bounded number of figures on the driver."""
 
     def __init__(self, sources: list[dict], total: int, block: int, slots: int, seed: int):
-        self.sources, self.total, self.block, self.slots, self.seed = sources, total, block, slots, seed
-        self.blocks = [-(-s["tokens"] // block) for s in sources]
+        self.sources, self.total, self.slots, self.seed = sources, total, slots, seed
         weights = np.array([max(0.0, s["weight"]) for s in sources])
-        self.drawn = -(-total // block) if weights.sum() > 0 else 0
-        self.weights = weights / weights.sum() if weights.sum() > 0 else weights
+        self.weights = weights if not weights.sum() or abs(weights.sum() - 1) < 1e-9 else weights / weights.sum()
+        # a block small enough that each source's target is many of them, so that whole blocks come close to it
+        self.block = int(min(block, max(LEAST_BLOCK, total // BLOCKS)))
+        self.blocks = [-(-int(s["tokens"]) // self.block) for s in sources]
+        most = np.array([int(s["max_repeats"]) * int(s["tokens"]) for s in sources], dtype=float)
+        self.targets = self._targets(most)
+        #: tokens that a source's slots must deliver, and slots for that: its blocks are full but for the last of a pass
+        mean = np.array([int(s["tokens"]) / max(n, 1) for s, n in zip(sources, self.blocks, strict=True)])
+        want = np.where(mean > 0, np.rint(self.targets / np.maximum(mean, 1e-9)), 0).astype(np.int64)
+        self.quota = np.minimum(want, np.array([int(s["max_repeats"]) * n for s, n in zip(sources, self.blocks, strict=True)], dtype=np.int64)) if sources else want
+        self.drawn = int(self.quota.sum())
         self.shards = -(-self.drawn // slots)
 
-    def counts(self, shard: int) -> np.ndarray:
-        n = min(self.slots, self.drawn - shard * self.slots)
-        return np.random.Generator(np.random.Philox(key=self.seed, counter=[0, 0, 0, shard])).multinomial(n, self.weights)
+    def _targets(self, most: np.ndarray) -> np.ndarray:
+        """Tokens of each source in the mix: its weight of the total; what sources can't give, having no passes left, is dealt out to
+        the others by their weights, until the mix is as large as the total or no source has anything left."""
+        out, full = np.zeros(len(most)), np.zeros(len(most), dtype=bool)
+        left = float(self.total) if self.weights.sum() > 0 else 0.0
+        while left > 0:
+            share = np.where(full, 0.0, self.weights)
+            if not share.sum():
+                break
+            want = share / share.sum() * left if full.any() else share * left
+            over = ~full & (want >= most) & (share > 0)
+            if not over.any():
+                return out + want
+            out[over] = most[over]
+            left -= most[over].sum()
+            full |= over
+        return out
+
+    def counts(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """A source's slots in a shard, and in all shards before it.
+
+        A multinomial draw without replacement from the quotas, so that over all shards every source gets its own. It is drawn by halves:
+        how many of a stretch of shards fall into its first half is drawn from the stretch's own slots, down to the shard. So a
+        shard needs a logarithmic number of draws, and no other shard's result.
+        """
+        low, high, have, before = 0, self.shards, self.quota.copy(), np.zeros_like(self.quota)
+        while high - low > 1:
+            middle = (low + high) // 2
+            first = self._first_half(have, min(middle * self.slots, self.drawn) - low * self.slots, np.random.Generator(np.random.Philox(key=self.seed, counter=[0, 2, low, high])))
+            if shard < middle:
+                have, high = first, middle
+            else:
+                have, before, low = have - first, before + first, middle
+        return have, before
+
+    @staticmethod
+    def _first_half(have: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+        total = int(have.sum())
+        if total < 10**9:
+            return rng.multivariate_hypergeometric(have, size, method="marginals")
+        # beyond what the generator takes, the limit of the same law, with the rest put on the sources with most room
+        part = size / total
+        out = np.clip(np.rint(have * part + rng.standard_normal(len(have)) * np.sqrt(have * part * (1 - part))), 0, have).astype(np.int64)
+        for i in np.argsort(-have):
+            out[i] += np.clip(size - out.sum(), -out[i], have[i] - out[i])
+        return out
 
     def order(self, shard: int, counts: np.ndarray) -> np.ndarray:
         return np.random.Generator(np.random.Philox(key=self.seed, counter=[0, 0, 1, shard])).permutation(np.repeat(np.arange(len(counts)), counts))
@@ -83,75 +137,61 @@ def plan(documents: DataFrame, targets: DataFrame, block: int = BLOCK, slots: in
 def draws(spark, p: Plan) -> DataFrame:
     """Rows (shard, slot, source, pass, block, tokens): which block fills each slot of the output.
 
-    Per shard the sources' slots are a multinomial draw by the weights. The i-th slot of a source over all shards is place i modulo its
-    number of blocks in pass i div that number; every pass runs through all blocks in an order of its own. A slot beyond the
-    last pass a source may have stays empty and has no row, so its share falls short, as the report says.
+    A shard's slots are a multinomial draw without replacement from what the plan gives each source. The i-th slot of a source
+    over all shards is place i modulo its number of blocks in pass i div that number; every pass runs through all blocks in an
+    order of its own. Every slot is filled. A shard works out its own draw and offsets, so nothing is moved.
     """
     ship(spark)
-    counts_schema = pa.schema([("shard", pa.int64()), ("s", pa.int32()), ("c", pa.int64())])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for shard in b.column(0).to_pylist():
-                c = p.counts(shard)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), shard)), pa.array(np.arange(len(c), dtype=np.int32)), pa.array(c.astype(np.int64))], schema=counts_schema)
-
     schema = pa.schema([("shard", pa.int64()), ("slot", pa.int32()), ("source", pa.string()), ("pass", pa.int32()), ("block", pa.int64()), ("tokens", pa.int64())])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([s["source"] for s in p.sources], dtype=object)
-        caps = np.array([int(s["max_repeats"]) for s in p.sources], dtype=np.int64)
         totals, blocks = np.array([int(s["tokens"]) for s in p.sources], dtype=np.int64), np.array(p.blocks, dtype=np.int64)
         for b in batches:
-            for shard, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                who = p.order(shard, p.counts(shard))
+            for shard in b.column(0).to_pylist():
+                counts, before = p.counts(shard)
+                who = p.order(shard, counts)
                 nth = np.zeros(len(who), dtype=np.int64)
-                for s in range(len(names)):
-                    mine = who == s
-                    nth[mine] = before[s] + np.arange(mine.sum())
-                have = blocks[who] > 0
-                rounds = np.where(have, nth // np.maximum(blocks[who], 1), caps[who])
-                ok = rounds < caps[who]
-                slot, who, nth, rounds = np.flatnonzero(ok), who[ok], nth[ok], rounds[ok]
+                for s in np.flatnonzero(counts):
+                    nth[who == s] = before[s] + np.arange(counts[s])
+                rounds = nth // np.maximum(blocks[who], 1)
                 place = np.zeros(len(who), dtype=np.int64)
                 for s, r in {(int(a), int(c)) for a, c in zip(who, rounds, strict=True)}:
                     mine = (who == s) & (rounds == r)
                     place[mine] = permute(nth[mine] % blocks[s], int(blocks[s]), (p.seed * 1_000_003 + s) * 1_000_003 + r)
                 size = np.minimum(p.block, totals[who] - place * p.block)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), shard)), pa.array(slot.astype(np.int32)), pa.array(names[who].tolist(), pa.string()), pa.array(rounds.astype(np.int32)), pa.array(place), pa.array(size)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), shard)), pa.array(np.arange(len(who), dtype=np.int32)), pa.array(names[who].tolist(), pa.string()), pa.array(rounds.astype(np.int32)), pa.array(place), pa.array(size)], schema=schema)
 
     shards = spark.range(p.shards).select(F.col("id").alias("shard"))
-    counted = shards.mapInArrow(count, "shard long, s int, c long")
-    before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).groupBy("shard").agg(F.transform(F.sort_array(F.collect_list(F.struct("s", "before"))), lambda x: x["before"]).alias("before"))
-    return offsets.mapInArrow(fill, "shard long, slot int, source string, pass int, block long, tokens long")
+    return shards.mapInArrow(fill, "shard long, slot int, source string, pass int, block long, tokens long")
 
 
 def report(spark, p: Plan) -> DataFrame:
-    """Rows per target source: weight, tokens, target_tokens, reachable, used_tokens, passes, share (of all tokens used).
+    """Rows per target source: weight, tokens, target_tokens, planned_tokens, used_tokens, passes, share (of all tokens used), reached, reachable.
 
-    reachable: max_repeats times the source's tokens is at least its weight times the tokens of all documents with a source.
+    ``planned_tokens``: the target, less what the source can't give, plus its part of what others can't give. All else is from the
+    finished draw: the blocks that fill the slots, and how often each was used. ``reached``: the mix has what was planned, but for a
+    percent or a block. ``reachable``: max_repeats times the source's tokens is at least its weight times the tokens of all
+    documents with a source, so whatever is drawn, a source that isn't has all of its blocks in the mix max_repeats times and still
+    less than its target: that the draw used it up is what the first condition asks, the exact amount follows.
     """
-    known = spark.createDataFrame([(s["source"], float(s["weight"]), int(s["max_repeats"]), int(s["tokens"]), float(s["weight"]) * p.total, bool(int(s["max_repeats"]) * int(s["tokens"]) >= float(s["weight"]) * p.total)) for s in p.sources], "source string, weight double, max_repeats int, tokens long, target_tokens double, reachable boolean")
-    used = draws(spark, p).groupBy("source").agg(F.sum("tokens").alias("used_tokens"), (F.max("pass") + 1).alias("passes"))
+    known = spark.createDataFrame([(s["source"], float(s["weight"]), int(s["max_repeats"]), int(s["tokens"]), float(w) * p.total, float(t), int(n)) for s, n, w, t in zip(p.sources, p.blocks, p.weights, p.targets, strict=True)], "source string, weight double, max_repeats int, tokens long, target_tokens double, planned_tokens double, blocks long")
+    used = draws(spark, p).groupBy("source").agg(F.sum("tokens").alias("used_tokens"), (F.max("pass") + 1).alias("passes"), F.count(F.lit(1)).alias("slots"))
     all_of = Window.partitionBy(F.lit(0))  # one row a target source
-    out = known.join(used, "source", "left").na.fill({"used_tokens": 0, "passes": 0})
-    return out.withColumn("share", F.when(F.sum("used_tokens").over(all_of) > 0, F.col("used_tokens") / F.sum("used_tokens").over(all_of)).otherwise(0.0))
+    out = known.join(used, "source", "left").na.fill({"used_tokens": 0, "passes": 0, "slots": 0})
+    short = (F.col("slots") >= F.col("blocks") * F.col("max_repeats")) & (F.col("used_tokens") < F.col("target_tokens"))
+    out = out.withColumns({"share": F.when(F.sum("used_tokens").over(all_of) > 0, F.col("used_tokens") / F.sum("used_tokens").over(all_of)).otherwise(0.0), "reached": F.abs(F.col("used_tokens") - F.col("planned_tokens")) <= F.greatest(F.lit(float(p.block)), F.col("planned_tokens") * 0.01), "reachable": ~short})
+    return out.drop("blocks", "slots")
 
 
 def pack(tokenized: DataFrame, block: int = BLOCK) -> DataFrame:
     """Rows (doc_id, source, ids) to blocks (source, block, ids) of ``block`` tokens; a source's last block may be shorter.
 
-    A document's place in its source's stream is a prefix sum in two levels: within (source, bucket of doc_id), and over the
-    buckets, of which there are as many as keep each small. Long documents are cut at block borders and may fill many blocks.
-    Documents without tokens or source add nothing.
+    A document's place in its source's stream is a running sum over ranges of documents, which are equally large however much a
+    source holds. Long documents are cut at block borders and may fill many blocks. Documents without tokens or source add nothing.
     """
-    buckets = 4 * int(tokenized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = tokenized.where("source IS NOT NULL AND size(ids) > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).withColumn("n", F.size("ids").cast("long"))
-    sums = docs.groupBy("source", "bucket").agg(F.sum("n").alias("b"))
-    sums = sums.withColumn("base", F.coalesce(F.sum("b").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("source", "bucket", "base")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "bucket").orderBy("doc_id", F.xxhash64("ids")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = docs.withColumn("before", before).join(sums, ["source", "bucket"]).withColumn("first", F.col("base") + F.col("before"))
+    docs = tokenized.where("source IS NOT NULL AND size(ids) > 0").select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n"))
+    placed = scan(docs, ["source"], ["doc_id", F.xxhash64("ids")], {"first": F.col("n")}, before=True)
     pieces = placed.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("n") - 1) / block))))
     start = F.greatest(F.col("block") * block - F.col("first"), F.lit(0))
     stop = F.least((F.col("block") + 1) * block - F.col("first"), F.col("n"))
@@ -165,4 +205,4 @@ def mix(tokenized: DataFrame, targets: DataFrame, block: int = BLOCK, slots: int
     ``tokenized``: rows (doc_id, source, ids). A block is drawn at most max_repeats times, so no join key is hot.
     """
     p = plan(tokenized.select("source", F.size("ids").cast("long").alias("tokens")), targets, block, slots, seed)
-    return draws(tokenized.sparkSession, p).drop("tokens").join(pack(tokenized, block), ["source", "block"]).select("shard", "slot", "source", "pass", "block", "ids")
+    return draws(tokenized.sparkSession, p).drop("tokens").join(pack(tokenized, p.block), ["source", "block"]).select("shard", "slot", "source", "pass", "block", "ids")

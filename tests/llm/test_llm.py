@@ -240,6 +240,30 @@ def test_mix(spark):
     assert sorted(map(tuple, ((r.shard, r.slot, r.source, r.block, tuple(r.ids)) for r in mixed))) == sorted(map(tuple, ((r.shard, r.slot, r.source, r.block, tuple(r.ids)) for r in again)))
 
 
+def test_shares_are_met(spark):
+    """What sources without passes left can't give comes from the others: the mix is as large as the total, and each share is met."""
+    rng = random.Random(8)
+    sizes = {"a": 9000, "b": 4000, "c": 700, "d": 60, "e": 2500}
+    docs = spark.createDataFrame([(k * 10_000 + i, s, [k] * 20) for k, (s, n) in enumerate(sizes.items()) for i in range(n // 10 + rng.randint(0, 3))], "doc_id long, source string, ids array<int>")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.3, 2), ("c", 0.2, 3), ("d", 0.1, 2), ("e", 0.1, 9)], "source string, weight double, max_repeats int")
+    p = M.plan(docs.select("source", F.size("ids").cast("long").alias("tokens")), targets, slots=64)
+    rep = {r.source: r for r in M.report(spark, p).collect()}
+    assert {s for s, r in rep.items() if not r.reachable} == {s for s, r in rep.items() if r.max_repeats * r.tokens < r.weight * p.total} == {"c", "d"}
+    assert all(r.used_tokens == r.max_repeats * r.tokens for r in rep.values() if not r.reachable)
+    assert abs(sum(r.used_tokens for r in rep.values()) - p.total) < 0.01 * p.total
+    assert all(r.reached for r in rep.values() if r.reachable)
+    got = M.draws(spark, p).collect()
+    assert len(got) == p.drawn and Counter(r.source for r in got) == {s["source"]: int(q) for s, q in zip(p.sources, p.quota, strict=True) if q}
+    spread = [Counter(r.source for r in got if r.shard == i)["a"] for i in range(p.shards - 1)]
+    assert len(set(spread)) > 3
+
+
+def test_a_draw_of_many_slots():
+    have = np.array([3 * 10**10, 10**9, 5, 0])
+    first = M.Plan._first_half(have, 10**10, np.random.default_rng(1))
+    assert first.sum() == 10**10 and (first >= 0).all() and (first <= have).all() and abs(first[1] / 10**9 - 10 / 31) < 1e-3
+
+
 def test_packing_loses_nothing(spark):
     docs = corpus(spark).where("ids IS NOT NULL")
     blocks = M.pack(docs, 16).collect()
