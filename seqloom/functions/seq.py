@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from seqloom.records import ship
 
 #: Bases and their complements.
 BASES, COMPLEMENTS = "ACGT", "TGCA"
@@ -82,17 +88,18 @@ def gaps(seq: Column) -> Column:
     A gap begins at an N and ends before the next upper-case A, C, G or T; small and ambiguous letters are inside. A trailing run
     without a base behind it is none, and the letter behind the closing base is passed over, as the reference rule does.
     """
-    token = r"(?s)([^N]*N[^ACGT]*[ACGT].?)"
-    tokens = F.regexp_extract_all(seq, F.lit(token), F.lit(1))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<gap_start:int,gap_end:int>>").alias("out"))
+    ship()
+    return _gaps(seq)
+
+
+#: A gap: from an N to before the next upper-case base, with the letter behind that base.
+_GAP = re.compile(r"[^N]*(N[^ACGT]*)[ACGT].?", re.S)
 
-    def step(acc: Column, t: Column) -> Column:
-        first = F.instr(t, "N") - 1
-        body = F.regexp_extract(t, r"(?s)^([^N]*N[^ACGT]*)", 1)
-        gap = F.struct((acc["at"] + first).cast("int").alias("gap_start"), (acc["at"] + F.length(body)).cast("int").alias("gap_end"))
-        return F.struct((acc["at"] + F.length(t)).alias("at"), F.concat(acc["out"], F.array(gap)).alias("out"))
 
-    return F.aggregate(tokens, zero, step, lambda acc: acc["out"])
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("gap_start", T.IntegerType()), T.StructField("gap_end", T.IntegerType())])))
+def _gaps(seq: pd.Series) -> pd.Series:
+    """One walk along each sequence, however many gaps it has."""
+    return seq.map(lambda s: None if s is None else [(m.start(1), m.end(1)) for m in _GAP.finditer(s)])
 
 
 def flanks(seq: Column, start: Column, end: Column, length: int, inset: int = 5) -> Column:

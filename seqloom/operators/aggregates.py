@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from seqloom.functions import cigar as C
 from seqloom.functions import flags as B
 from seqloom.functions import seq as S
+from seqloom.operators.ordered import scan
 
 
 def usable(flag: Column) -> Column:
@@ -49,15 +50,15 @@ def read_pairs_across(reads: DataFrame, lengths: DataFrame, insert: int, sd: int
 def depth_runs(spans: DataFrame, entity: Sequence[str]) -> DataFrame:
     """Maximal runs of equal depth: rows (entity..., first, last, depth) of spans (entity..., first, last), depth above 0.
 
-    A sweep over +1 / -1 events that are added up per place before they are moved, so an entity's rows in a task are its
-    different places, never its reads or bases.
+    A sweep over +1 / -1 events that are added up per place before they are moved; the sweep runs over ranges of places, so an
+    entity with many of them is no single task.
     """
     e = list(entity)
     events = spans.where("first <= last").select(*e, F.inline(F.array(F.struct(F.col("first").cast("long").alias("at"), F.lit(1).alias("d")), F.struct((F.col("last") + 1).cast("long").alias("at"), F.lit(-1).alias("d")))))
     steps = events.groupBy(*e, "at").agg(F.sum("d").alias("d")).where("d <> 0")
-    w = Window.partitionBy(*e).orderBy("at")
-    runs = steps.withColumn("depth", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.lead("at").over(w) - 1)
-    return runs.where("depth > 0").select(*e, F.col("at").alias("first"), "last", "depth")
+    # each step closes the run before it
+    runs = scan(steps, e, ["at"], {"depth": F.col("d")}, {"first": F.col("at")}, before=True)
+    return runs.where("depth > 0").select(*e, "first", (F.col("at") - 1).alias("last"), "depth")
 
 
 def coverage(spans: DataFrame, entity: Sequence[str]) -> DataFrame:
@@ -123,10 +124,11 @@ def consecutive_pairs(rows: DataFrame, order: str, same: Sequence[str], side: st
     """Rows with the one before them in file order, where all of ``same`` agree and ``side`` doesn't: (row..., before_...).
 
     File order is one order over all rows, taken apart by the first of ``same``: rows of other groups in between only break a pair
-    if they stand between its two rows, which the distance in ``order`` tells.
+    if they stand between its two rows, which the distance in ``order`` tells. Neighbours are found over ranges of rows.
     """
-    w = Window.partitionBy(same[0]).orderBy(order)
-    x = rows.withColumns({f"before_{c}": F.lag(c).over(w) for c in [order, side, *same[1:]]})
+    rest = [c for c in rows.columns if c != same[0]]
+    x = scan(rows, [same[0]], [order], lasts={"__before": F.struct(*rest)}, before=True)
+    x = x.select(*rows.columns, *[F.col(f"__before.{c}").alias(f"before_{c}") for c in rest])
     cond = (F.col(f"before_{side}") != F.col(side)) & (F.col(f"before_{order}") == F.col(order) - 1)
     for c in same[1:]:
         cond = cond & (F.col(f"before_{c}") == F.col(c))

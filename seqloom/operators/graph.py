@@ -186,14 +186,17 @@ def merge_path(path: list[str], seqs: dict[str, str], **options) -> str:
 
 
 def merge_contigs(contigs: DataFrame, group: str, name: str, seq: str, most_bases: int = 1_000_000, clip: int = 50) -> DataFrame:
-    """Per group the merged sequences of its overlap graph's paths: rows (group, name, path, seq).
+    """Per group the merged sequences of its overlap graph's paths: rows (group, name, path, seq, reason).
 
-    A group whose sequences pass ``most_bases`` gets no merged sequences; its contigs stay as they are, as the reference's guard
-    has it, so a group that is worked on is bounded. Null and empty sequences are left out; a null group is a group.
+    A group whose sequences pass ``most_bases`` isn't merged, as the reference's guard has it, so a group that is worked on is
+    bounded: each of its contigs comes out as it is, a path of itself, with the reason ``too many bases``; ``reason`` is null
+    for merged sequences. Null and empty sequences are left out; a null group is a group.
     """
     ship(contigs.sparkSession)
-    small = contigs.groupBy(group).agg(F.sum(F.length(seq)).alias("__bases")).where(F.col("__bases") <= most_bases)
-    usable = contigs.where(F.length(seq) > 0).join(small.select(F.col(group).alias("__g")), F.col(group).eqNullSafe(F.col("__g")), "left_semi")
+    large = contigs.groupBy(group).agg(F.sum(F.length(seq)).alias("__bases")).where(F.col("__bases") > most_bases).select(F.col(group).alias("__g"))
+    is_large = F.col(group).eqNullSafe(F.col("__g"))
+    usable = contigs.where(F.length(seq) > 0).join(large, is_large, "left_anti")
+    as_is = contigs.where(F.length(seq) > 0).join(large, is_large, "left_semi").select(group, F.col(name).cast("string").alias("name"), F.array(F.col(name).cast("string")).alias("path"), F.col(seq).alias("seq"), F.lit("too many bases").alias("reason"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = pdf["g"].iloc[0]
@@ -208,7 +211,8 @@ def merge_contigs(contigs: DataFrame, group: str, name: str, seq: str, most_base
 
     kind = dict(contigs.dtypes)[group]
     data = usable.select(F.col(group).alias("g"), F.col(name).cast("string").alias("n"), F.col(seq).alias("s"))
-    return data.groupBy("g").applyInPandas(run, f"g {kind}, name string, path array<string>, seq string").withColumnRenamed("g", group)
+    merged_ones = data.groupBy("g").applyInPandas(run, f"g {kind}, name string, path array<string>, seq string").withColumnRenamed("g", group)
+    return merged_ones.withColumn("reason", F.lit(None).cast("string")).unionByName(as_is)
 
 
 def unitigs(kmers: DataFrame, group: str, kmer: str, count: str, least: int = 1) -> DataFrame:
@@ -246,36 +250,53 @@ def unitigs(kmers: DataFrame, group: str, kmer: str, count: str, least: int = 1)
     return data.groupBy("g").applyInPandas(run, f"g {kind}, seq string, mean_count double").withColumnRenamed("g", group)
 
 
-def weak_components(edges: DataFrame, source: str, target: str, rounds: int = 30) -> DataFrame:
+def weak_components(edges: DataFrame, source: str, target: str) -> DataFrame:
     """Every node with the smallest node it is connected to, whatever the directions: rows (node, component).
 
     Labels are lowered by joins and a minimum combined on the map side; each round also jumps to the label's own label, so chains
-    take a logarithmic number of rounds. Every round is written to the shared folder.
+    take few rounds. Rounds go on until no label changes. Every round is written to the shared folder.
     """
     both = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     both = cut(both.union(both.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.least("label", "near").alias("new"), "label")
         jump = lower.alias("x").join(labels.alias("y"), F.col("x.new") == F.col("y.node"), "left").select(F.col("x.node").alias("node"), F.least("x.new", F.coalesce("y.label", "x.new")).alias("new"), F.col("x.label").alias("old"))
         done = cut(jump)
-        changed = done.where("new <> old").limit(1).count()
         labels = done.select("node", F.col("new").alias("label"))
-        if not changed:
-            break
-    return labels.select("node", F.col("label").alias("component"))
+        if done.where("new <> old").isEmpty():
+            return labels.select("node", F.col("label").alias("component"))
 
 
-def reach(edges: DataFrame, starts: DataFrame, source: str, target: str, rounds: int = 50) -> DataFrame:
-    """Breadth-first: rows (node, depth) of all nodes reached from ``starts`` (a column ``node``), each at its least depth."""
-    e = edges.select(F.col(source).alias("s"), F.col(target).alias("node")).distinct()
+def reach(edges: DataFrame, starts: DataFrame, source: str, target: str) -> DataFrame:
+    """Breadth-first: rows (node, depth) of all nodes reached from ``starts`` (a column ``node``), each at its least depth, however far."""
+    e = cut(edges.select(F.col(source).alias("s"), F.col(target).alias("node")).where("s IS NOT NULL AND node IS NOT NULL").distinct())
     seen = front = cut(starts.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
-    for d in range(1, rounds + 1):
-        front = cut(e.join(front.select(F.col("node").alias("s")), "s").select("node").distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
-        if not front.limit(1).count():
-            break
-        seen = seen.unionByName(front)
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        front = cut(e.join(front.select(F.col("node").alias("s")), "s").select("node").distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        # written anew, so that a round's plan doesn't grow with the rounds before it
+        seen = cut(seen.unionByName(front))
     return seen
 
 
+def maximal_paths(edges: DataFrame, source: str, target: str, longest: int = 10) -> DataFrame:
+    """Simple paths of at most ``longest`` nodes that can't be extended: rows (root, path), by expanding all paths a node a round.
+
+    Roots are the nodes no edge leads to; a path ends where every edge leads back into it, or at ``longest`` nodes. Rounds are
+    joins on the last node, so a large graph's paths are spread; their number is the feature's own. Repeated edges count
+    once; edges with a null end lead nowhere. A graph that is all circles has no root and so no path; an empty one has none.
+    """
+    e = cut(edges.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s IS NOT NULL AND t IS NOT NULL AND s <> t").distinct())
+    roots = e.select("s").distinct().join(e.select(F.col("t").alias("s")).distinct(), "s", "left_anti")
+    level, done = cut(roots.select(F.col("s").alias("root"), F.array("s").alias("path"))), None
+    for _ in range(longest - 1):
+        longer = cut(level.join(e, F.element_at("path", -1) == F.col("s")).where(~F.array_contains("path", F.col("t"))).select("root", "path", F.concat("path", F.array("t")).alias("longer")))
+        ended = level.join(longer.select("root", "path").distinct(), ["root", "path"], "left_anti")
+        done = ended if done is None else done.unionByName(ended)
+        level = longer.select("root", F.col("longer").alias("path"))
+        if longer.isEmpty():
+            return done
+    return level if done is None else done.unionByName(level)

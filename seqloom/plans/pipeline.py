@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from seqloom.functions import seq as S
 from seqloom.operators import graph, joins, kmers, pick
 from seqloom.operators.align import local_column, spread
+from seqloom.operators.ordered import scan
 from seqloom.records import cut
 
 
@@ -21,11 +22,9 @@ def find_gaps(scaffolds: DataFrame, least: int = 100) -> DataFrame:
 
     Scaffold ordinals count from 0 in the order of ``ord``, gaps from 1 along their scaffold. A null sequence has none.
     """
-    dense = F.row_number().over(Window.orderBy("ord")) - 1
-    ords = scaffolds.select("ord", "name").distinct().withColumn("scf_ord", dense).select("name", "scf_ord")
+    ords = scan(scaffolds.select("ord", "name").distinct(), [], ["ord", "name"], {"scf_ord": F.lit(1)}, before=True).select("name", "scf_ord")
     g = scaffolds.select("name", F.inline(S.gaps(F.col("seq")))).withColumn("gap_len", F.col("gap_end") - F.col("gap_start")).where(F.col("gap_len") >= least)
-    n = F.row_number().over(Window.partitionBy("name").orderBy("gap_start"))
-    return g.withColumn("gap_ord", n).join(ords, "name").select(F.concat_ws("_", "scf_ord", "gap_ord").alias("gap_id"), F.col("name").alias("scaffold"), "gap_start", "gap_end", "gap_len")
+    return scan(g, ["name"], ["gap_start"], {"gap_ord": F.lit(1)}).join(ords, "name").select(F.concat_ws("_", "scf_ord", "gap_ord").alias("gap_id"), F.col("name").alias("scaffold"), "gap_start", "gap_end", "gap_len")
 
 
 def flank_pairs(scaffolds: DataFrame, gaps: DataFrame, length: int = 300) -> DataFrame:
@@ -62,7 +61,7 @@ def fill_round(flanks: DataFrame, reads: DataFrame, ks: list[int], least: int, l
     Those bases stand in the scaffold too, so they are cut off here for an exact splice.
     """
     contigs = cut(assemble(reads, ks, least))
-    merged = graph.merge_contigs(contigs, "gap_id", "name", "seq").select("gap_id", "name", "seq")
+    merged = graph.merge_contigs(contigs, "gap_id", "name", "seq").where("reason IS NULL").select("gap_id", "name", "seq")
     every = cut(contigs.unionByName(merged))
     picked = pick.pick_bridging(align_flanks(flanks, every, least_score), every.withColumnRenamed("name", "contig"), 2 * INSET)
     return picked.select("gap_id", F.substring("fill", F.lit(INSET + 1), F.length("fill") - (2 * INSET + 1)).alias("fill"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.queries.problems import RECORDS
@@ -11,9 +11,9 @@ from seqloom.records import latest, reference_name, table
 COLUMNS = ["aln_id", "bam", "lib_id", "qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
 
 
-def records(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """One row per alignment record, rname cleaned."""
-    a = latest(table(spark, d, "alignments"), "aln_id", list(columns or COLUMNS))
+def records(spark: SparkSession, d: str, *columns: str, where: Column | str | None = None) -> DataFrame:
+    """One row per alignment record, rname cleaned. ``where`` is asked of the deliveries, which are equal but for their time."""
+    a = latest(table(spark, d, "alignments"), "aln_id", list(columns or COLUMNS), where=where)
     return a.withColumn("rname", reference_name(F.col("rname"))) if "rname" in a.columns else a
 
 

@@ -10,6 +10,7 @@ from seqloom.functions import cigar as C
 from seqloom.functions import flags as B
 from seqloom.operators import aggregates as A
 from seqloom.operators import joins as J
+from seqloom.operators.ordered import scan
 from seqloom.queries.common import SQL_A, SQL_G, gaps, libraries, records, summed
 
 QUERIES: dict = {}
@@ -58,7 +59,7 @@ SELECT aln_id, (CASE WHEN cl THEN 1 ELSE 0 END) + (CASE WHEN cr THEN 2 ELSE 0 EN
 def cigar_features(spark: SparkSession, d: str) -> DataFrame:
     """P4 to P11, F6, F7"""
     c = F.col("cigar")
-    a = records(spark, d, "aln_id", "cigar", "seq").where(C.is_valid(c))
+    a = records(spark, d, "aln_id", "cigar", "seq", where=C.is_valid(c))
     return a.select("aln_id", C.clip_code(c).alias("clip_code"), C.clip_type(c).alias("clip_type"), C.is_qualified_clip(c, 10).alias("qualified"), C.matched(c).alias("matched"), C.query_length(c).alias("query_length"), C.reference_span(c).alias("span"), C.is_fully_mapped(c, 0.99).alias("fully"), C.is_perfectly_mapped(c, F.length("seq")).alias("perfect"))
 
 
@@ -67,7 +68,7 @@ SELECT aln_id, CASE WHEN f <> '' AND l <> '' THEN 'B' WHEN f <> '' THEN 'L' || f
  CASE WHEN l <> '' THEN pos + {summed('cigar', 'MDN=X')} ELSE -1 END AS right_pos FROM v""")
 def clip_places(spark: SparkSession, d: str) -> DataFrame:
     """P8"""
-    a = records(spark, d, "aln_id", "cigar", "pos").where(C.is_valid(F.col("cigar")) & (F.col("pos") >= 1))
+    a = records(spark, d, "aln_id", "cigar", "pos", where=C.is_valid(F.col("cigar")) & (F.col("pos") >= 1))
     return a.select("aln_id", C.clip_positions(F.col("pos"), F.col("cigar")).alias("p")).select("aln_id", "p.*")
 
 
@@ -84,7 +85,7 @@ DISCORDANT = "(rnext <> '=' OR abs(CAST(tlen AS BIGINT)) >= insert_mean + 3 * in
 @query(f"WITH {SQL_A} SELECT aln_id, {DISCORDANT} AS discordant FROM a JOIN libraries USING (lib_id) WHERE (flag & 12) = 0 AND mapq >= 30")
 def discordant_reads(spark: SparkSession, d: str) -> DataFrame:
     """P13"""
-    a = records(spark, d, "aln_id", "lib_id", "flag", "mapq", "rnext", "tlen").where((F.col("flag").bitwiseAND(12) == 0) & (F.col("mapq") >= 30)).join(libraries(spark, d), "lib_id")
+    a = records(spark, d, "aln_id", "lib_id", "flag", "mapq", "rnext", "tlen", where=(F.col("flag").bitwiseAND(12) == 0) & (F.col("mapq") >= 30)).join(libraries(spark, d), "lib_id")
     return a.select("aln_id", B.is_discordant(F.col("rnext"), F.col("tlen"), F.col("insert_mean"), F.col("insert_sd")).alias("discordant"))
 
 
@@ -190,13 +191,13 @@ def both_unmapped(spark: SparkSession, d: str) -> DataFrame:
     """S10, P20"""
     from seqloom.sources.text import both_unmapped as f
 
-    return f(records(spark, d, "aln_id", "qname", "flag", "seq", "qual")).select("read_id", "mate", F.length("seq").alias("bases"))
+    return f(records(spark, d, "aln_id", "qname", "flag", "seq", "qual", where=F.col("flag").bitwiseAND(12) == 12)).select("read_id", "mate", F.length("seq").alias("bases"))
 
 
 @query(f"WITH {SQL_A}, u AS (SELECT qname, CASE WHEN flag > 128 THEN 2 ELSE 1 END AS mate, seq FROM a WHERE (flag & 12) = 12) SELECT qname, x.seq AS seq_1, y.seq AS seq_2 FROM u x JOIN u y USING (qname) WHERE x.mate = 1 AND y.mate = 2")
 def unmapped_pairs(spark: SparkSession, d: str) -> DataFrame:
     """J14"""
-    a = records(spark, d, "aln_id", "qname", "flag", "seq").where(F.col("flag").bitwiseAND(12) == 12)
+    a = records(spark, d, "aln_id", "qname", "flag", "seq", where=F.col("flag").bitwiseAND(12) == 12)
     return J.pair_up(a.select("qname", B.mate_suffix(F.col("flag")).alias("mate"), "seq"))
 
 
@@ -225,7 +226,7 @@ PAIRS = f"""e AS (SELECT rname AS l_name, rnext AS r_name, CASE WHEN (flag & 16)
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    a = records(spark, d, "aln_id", "flag", "rname", "pos", "rnext", "pnext")
+    a = records(spark, d, "aln_id", "flag", "rname", "pos", "rnext", "pnext", where=(F.col("flag").bitwiseAND(76) == 64) & (F.col("rnext") != "="))
     return A.read_pairs_across(a, spark.read.parquet(f"{d}/scaffolds.parquet").select(F.col("scf_name").alias("name"), F.col("seq_len").alias("length")), 300, 5000, 101)
 
 
@@ -262,7 +263,7 @@ SPANS = f"i AS (SELECT rname, CAST(pos AS BIGINT) AS f, CAST(pos + {summed('ciga
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    a = records(spark, d, "aln_id", "rname", "flag", "pos", "cigar").where("rname IS NOT NULL AND pos >= 1").where(C.is_valid(F.col("cigar")) & A.usable(F.col("flag")) & B.is_mapped(F.col("flag")))
+    a = records(spark, d, "aln_id", "rname", "flag", "pos", "cigar", where=(F.col("pos") >= 1) & A.usable(F.col("flag")) & B.is_mapped(F.col("flag")) & C.is_valid(F.col("cigar"))).where("rname IS NOT NULL")
     return a.select("rname", F.col("pos").cast("long").alias("first"), (F.col("pos") + C.reference_span(F.col("cigar")) - 1).alias("last"), "cigar")
 
 
@@ -336,7 +337,7 @@ def reads_clipped_at_several(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SQL_A} SELECT rname, count(DISTINCT qname) AS reads FROM a WHERE rname IS NOT NULL AND {VALID} AND greatest(coalesce(try_cast(nullif(regexp_extract(cigar, '^([0-9]+)[SH]', 1), '') AS BIGINT), 0), coalesce(try_cast(nullif(regexp_extract(cigar, '[A-Z=]([0-9]+)[SH]$', 1), '') AS BIGINT), 0)) < 20 GROUP BY rname")
 def unclipped_hits(spark: SparkSession, d: str) -> DataFrame:
     """A17"""
-    a = records(spark, d, "aln_id", "qname", "rname", "cigar").where(C.is_valid(F.col("cigar")) & F.col("rname").isNotNull() & ~C.is_qualified_clip(F.col("cigar"), 20))
+    a = records(spark, d, "aln_id", "qname", "rname", "cigar", where=C.is_valid(F.col("cigar"))).where(F.col("rname").isNotNull() & ~C.is_qualified_clip(F.col("cigar"), 20))
     return a.groupBy("rname").agg(F.count_distinct("qname").alias("reads"))
 
 
@@ -397,18 +398,16 @@ def best_bridges(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {SQL_A}, o AS (SELECT aln_id, rname, pos, CASE WHEN (flag & 16) <> 0 THEN 'right' ELSE 'left' END AS side, lag(CASE WHEN (flag & 16) <> 0 THEN 'right' ELSE 'left' END) OVER w AS before_side, lag(pos) OVER w AS before_pos, lag(aln_id) OVER w AS before_aln_id FROM a WHERE rname IS NOT NULL AND pos >= 1 WINDOW w AS (PARTITION BY rname ORDER BY aln_id)) SELECT aln_id, rname, before_pos + 299 AS first, pos AS last FROM o WHERE before_side <> side AND before_aln_id = aln_id - 1")
 def paired_in_order(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours in file order on one scaffold and opposite sides span a stretch"""
-    a = records(spark, d, "aln_id", "rname", "pos", "flag").where("rname IS NOT NULL AND pos >= 1").withColumn("side", F.when(B.has(F.col("flag"), 16), "right").otherwise("left"))
+    a = records(spark, d, "aln_id", "rname", "pos", "flag", where="pos >= 1").where("rname IS NOT NULL").withColumn("side", F.when(B.has(F.col("flag"), 16), "right").otherwise("left"))
     x = A.consecutive_pairs(a.select("aln_id", "rname", "pos", "side"), "aln_id", ["rname"], "side")
-    w = Window.partitionBy("rname").orderBy("aln_id")
-    y = a.withColumn("before_pos", F.lag("pos").over(w)).select("aln_id", "before_pos")
-    return x.join(y, "aln_id").select("aln_id", "rname", (F.col("before_pos") + 299).alias("first"), F.col("pos").alias("last"))
+    return x.select("aln_id", "rname", (F.col("before_pos") + 299).alias("first"), F.col("pos").alias("last"))
 
 
 @query(f"WITH {SQL_A} SELECT rname, pos, qname, aln_id, row_number() OVER (PARTITION BY rname ORDER BY pos, qname, aln_id) AS place FROM a WHERE rname IS NOT NULL AND pos >= 1")
 def by_coordinate(spark: SparkSession, d: str) -> DataFrame:
     """O2, O7"""
-    a = records(spark, d, "aln_id", "rname", "pos", "qname").where("rname IS NOT NULL AND pos >= 1")
-    return a.withColumn("place", F.row_number().over(Window.partitionBy("rname").orderBy("pos", "qname", "aln_id"))).select("rname", "pos", "qname", "aln_id", "place")
+    a = records(spark, d, "aln_id", "rname", "pos", "qname", where="pos >= 1").where("rname IS NOT NULL")
+    return scan(a, ["rname"], ["pos", "qname", "aln_id"], {"place": F.lit(1)}).select("rname", "pos", "qname", "aln_id", "place")
 
 
 @query(f"WITH {SQL_A} SELECT DISTINCT rname AS name, coalesce(seq_len, 0) AS length FROM a LEFT JOIN scaffolds ON scf_name = rname WHERE rname IS NOT NULL")
@@ -420,5 +419,6 @@ def reference_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SQL_A} SELECT aln_id, rname, pos, qname FROM a WHERE rname = 'scf_00000003' AND pos BETWEEN 1000 AND 5000")
 def region_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The region is the query; filters on rname and pos reach the scan through the file's statistics"""
-    return records(spark, d, "aln_id", "rname", "pos", "qname").where("rname = 'scf_00000003' AND pos BETWEEN 1000 AND 5000").select("aln_id", "rname", "pos", "qname")
+    """A region of a table; the filters reach the scan, before deliveries are told apart"""
+    near = "rname LIKE 'scf_00000003%' AND pos BETWEEN 1000 AND 5000"
+    return records(spark, d, "aln_id", "rname", "pos", "qname", where=near).where("rname = 'scf_00000003'").select("aln_id", "rname", "pos", "qname")
