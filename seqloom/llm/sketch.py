@@ -199,7 +199,8 @@ def _fold(df: DataFrame, keys: list[str], bucket, k: int, probabilities: Sequenc
             yield _table(keys, types, out)
 
     rows = df.withColumn("part", bucket.cast("int"))
-    rows = rows.repartition(*keys, "part").sortWithinPartitions(*keys, "part")
+    # the order in which sketches are merged rests on their content, not on when they arrive
+    rows = rows.withColumns({"__part": F.col("part"), "__n": -F.col("n")}).repartition(*keys, "part").sortWithinPartitions(*keys, "part", "level", "values", "__n", "error").drop("__part", "__n")
     return rows.mapInArrow(run, f"{_schema(keys, df) + ', ' if keys else ''}part int, level int, n long, error long, values array<long>")
 
 

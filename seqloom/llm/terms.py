@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seqloom.records import ship
 
-#: Bits of a term's hash that choose its partition.
+#: Bits of a term's hash that choose its partition, at least; also the bits by which an oversized partition is split on disk.
 RADIX_BITS = 8
 #: Entries a map task holds before it combines them, and bases it encodes at a time.
 HOLD, BASES = 1 << 22, 1 << 21
@@ -68,12 +68,17 @@ def _combine(h: np.ndarray, occ: np.ndarray, rec: np.ndarray) -> tuple[np.ndarra
     return h[edges], np.add.reduceat(occ[order], edges) if len(h) else occ, np.add.reduceat(rec[order], edges) if len(h) else rec
 
 
-def term_blocks(df: DataFrame, sequence: str, k: int) -> DataFrame:
-    """Partial counts of every window, combined in each map task and packed into one block per radix partition."""
+def radix_bits(parts: int, k: int) -> int:
+    """Bits of the radix for so many reduce tasks: four radix partitions a task or more, as far as a term has bits."""
+    return min(2 * k, max(RADIX_BITS, (4 * parts - 1).bit_length()))
+
+
+def term_blocks(df: DataFrame, sequence: str, k: int, bits: int = RADIX_BITS) -> DataFrame:
+    """Partial counts of every window, combined in each map task and packed into one block per radix partition of ``bits`` bits."""
     if not 4 <= k <= 31:
         raise ValueError("k must be 4 to 31")
     ship(df.sparkSession)
-    mult, mask, shift = np.uint64(multiplier(k)[0]), np.uint64((1 << (2 * k)) - 1), np.uint64(2 * k - RADIX_BITS)
+    mult, mask, shift = np.uint64(multiplier(k)[0]), np.uint64((1 << (2 * k)) - 1), np.uint64(2 * k - bits)
     schema = pa.schema([("radix", pa.int32()), ("terms", pa.binary()), ("occurrences", pa.binary()), ("records", pa.binary()), ("held", pa.int64()), ("seen", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,11 +108,11 @@ def term_blocks(df: DataFrame, sequence: str, k: int) -> DataFrame:
 
         def emit() -> Iterator[pa.RecordBatch]:
             h, occ, rec = held[0] if held else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-            cuts = np.searchsorted(h >> shift, np.arange((1 << RADIX_BITS) + 1, dtype=np.uint64))
+            cuts = np.searchsorted(h >> shift, np.arange((1 << bits) + 1, dtype=np.uint64))
             z = pa.Codec("zstd", 1)
             pack = lambda a: z.compress(np.ascontiguousarray(a).tobytes(), asbytes=True) if len(a) else b""
             rows = []
-            for r in range(1 << RADIX_BITS):
+            for r in range(1 << bits):
                 s = slice(cuts[r], cuts[r + 1])
                 rows.append((r, pack(np.diff(h[s], prepend=np.uint64(0))), pack(occ[s]), pack(rec[s]), int(cuts[r + 1] - cuts[r]), seen))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -197,16 +202,18 @@ def term_frequency(df: DataFrame, sequence: str, k: int = 10) -> DataFrame:
     gives no rows. Other columns of ``df`` are not read.
 
     Map tasks combine their windows before anything is moved, so a term that a third of all records hold is one entry a task.
-    Entries go to partitions by the top bits of a one-to-one hash; a task's partition is aggregated by DuckDB, and while it
+    Entries go to partitions by the top bits of a one-to-one hash, more bits for more reduce tasks; a task's partition is aggregated by DuckDB, and while it
     is larger than ``OVERSIZED`` entries it is split on disk by the next bits, so memory doesn't depend on the number of terms.
     """
-    width = 2 * k
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width, bits = 2 * k, radix_bits(parts, k)
+    one_machine = df.sparkSession.sparkContext.master.startswith("local")
     inverse = np.uint64(multiplier(k)[1])
     mask = np.uint64((1 << width) - 1)
     schema = pa.schema([("kmer", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64()), ("of_records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = tempfile.mkdtemp(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)  # scratch of one task, removed with it
+        folder = tempfile.mkdtemp(dir=os.environ.get("SPARK_LOCAL_DIRS", os.environ.get("LOCAL_DIRS", "")).split(",")[0] or (None if one_machine else os.getcwd()))  # scratch of one task, removed with it
         letters = np.frombuffer(LETTERS.encode(), dtype=np.uint8)
         z = pa.Codec("zstd")
         held: list[pa.Table] = []
@@ -218,7 +225,7 @@ def term_frequency(df: DataFrame, sequence: str, k: int = 10) -> DataFrame:
 
         def spill() -> None:
             nonlocal held, size
-            _spill(pa.concat_tables(held), RADIX_BITS, width, folder, files)
+            _spill(pa.concat_tables(held), bits, width, folder, files)
             held, size = [], 0
 
         def result(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -236,7 +243,7 @@ def term_frequency(df: DataFrame, sequence: str, k: int = 10) -> DataFrame:
                 if held:
                     spill()
                 for p in sorted(files):
-                    for t in _from_disk(files[p], 2 * RADIX_BITS, width, folder):
+                    for t in _from_disk(files[p], bits + RADIX_BITS, width, folder):
                         yield from result(t)
             elif held:
                 yield from result(_aggregate(pa.concat_tables(held), folder))
@@ -258,5 +265,6 @@ def term_frequency(df: DataFrame, sequence: str, k: int = 10) -> DataFrame:
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
-    blocks = term_blocks(df.where(F.col(sequence).isNotNull()), sequence, k)
-    return blocks.repartition("radix").sortWithinPartitions("radix").mapInArrow(run, "kmer string, occurrences long, records long, of_records long")
+    blocks = term_blocks(df.where(F.col(sequence).isNotNull()), sequence, k, bits)
+    # hashes are spread evenly, so equal ranges of the radix are equal shares of the terms
+    return blocks.repartitionById(parts, F.expr(f"cast(shiftright(radix * {parts}L, {bits}) AS int)")).sortWithinPartitions("radix").mapInArrow(run, "kmer string, occurrences long, records long, of_records long")
