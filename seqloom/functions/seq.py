@@ -154,3 +154,11 @@ def extended_fill(left: Column, right: Column) -> Column:
 def contig_distance(insert: Column, left_len: Column, pos: Column, mate_pos: Column, read_length: int) -> Column:
     """Insert size less what both contigs hold of it."""
     return insert - (left_len - pos) - (mate_pos + read_length)
+
+
+def uniform(seed: int, *by: Column) -> Column:
+    """A pseudorandom double in [0, 1) for a seed and some columns: the same for the same values, wherever the row lies.
+
+    53 bits of a 64-bit hash. A stream of numbers is that of a seed and a running number; it needs no state.
+    """
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *by), 11).cast("double") * F.lit(2.0**-53)

@@ -156,30 +156,33 @@ def global_cigar(a: str, b: str, match: int = 1, mismatch: int = -3, indel: int
     x, y = _bytes(a), _bytes(b)
     while True:
         width = max(band, abs(n - m) + 1)
-        table = np.full((n + 1, m + 1), NONE, dtype=np.int32)
-        table[0, : width + 1] = indel * np.arange(min(width, m) + 1)
-        fall = -indel * np.arange(m + 1, dtype=np.int32)
+        # only the band is held: cell (i, j) stands at (i, j - i + width)
+        table = np.full((n + 1, 2 * width + 2), NONE, dtype=np.int32)
+        table[0, width : width + min(width, m) + 1] = indel * np.arange(min(width, m) + 1)
         for i in range(1, n + 1):
             lo, hi = max(0, i - width), min(m, i + width)
-            best = np.full(m + 1, NONE, dtype=np.int32)
-            best[lo : hi + 1] = table[i - 1, lo : hi + 1] + indel
+            at, before = table[i, lo - i + width : hi - i + width + 1], table[i - 1]
+            at[:] = before[lo - i + width + 1 : hi - i + width + 2] + indel
             k = max(lo, 1)
-            best[k : hi + 1] = np.maximum(best[k : hi + 1], table[i - 1, k - 1 : hi] + np.where(y[k - 1 : hi] == x[i - 1], match, mismatch))
-            table[i, lo : hi + 1] = (np.maximum.accumulate(best[lo : hi + 1] + fall[lo : hi + 1]) - fall[lo : hi + 1])
+            diagonal = before[k - i + width : hi - i + width + 1] + np.where(y[k - 1 : hi] == x[i - 1], match, mismatch)
+            at[k - lo :] = np.maximum(at[k - lo :], diagonal)
+            fall = -indel * np.arange(len(at), dtype=np.int32)
+            at[:] = np.maximum.accumulate(at + fall) - fall
+        cell = lambda i, j: int(table[i, j - i + width]) if 0 <= j - i + width <= 2 * width else NONE
         i, j, ops, edge = n, m, [], False
         while i or j:
             edge = edge or abs(i - j) >= width
-            if i and j and table[i, j] == table[i - 1, j - 1] + (match if x[i - 1] == y[j - 1] else mismatch):
+            if i and j and cell(i, j) == cell(i - 1, j - 1) + (match if x[i - 1] == y[j - 1] else mismatch):
                 ops.append("M")
                 i, j = i - 1, j - 1
-            elif i and table[i, j] == table[i - 1, j] + indel:
+            elif i and cell(i, j) == cell(i - 1, j) + indel:
                 ops.append("I")
                 i -= 1
             else:
                 ops.append("D")
                 j -= 1
         if not edge or width >= max(n, m):
-            return int(table[n, m]), _runs(ops[::-1])
+            return cell(n, m), _runs(ops[::-1])
         band = 2 * width
 
 
@@ -300,3 +303,56 @@ def verify_pairs(pairs: DataFrame, seqs: DataFrame, id: str, seq: str, **options
     left, right = (seqs.select(F.col(id).alias(n), F.col(seq).alias(f"__{n}")) for n in ("a", "b"))
     both = spread(pairs.join(left, "a").join(right, "b"))
     return both.withColumn("o", overlap_column(F.col("__a"), F.col("__b"), **options)).select("a", "b", "o.*")
+
+
+class Extension(NamedTuple):
+    """How far an alignment goes on from where both sequences begin: its score, and the bases of both that it takes in."""
+
+    score: int
+    first_end: int
+    second_end: int
+
+
+def extension(a: str, b: str, start: int = 0, mismatch: int = -2, indel: int = -2, band: int | None = None) -> Extension:
+    """The best alignment that begins at the first bases of both, may end anywhere, and adds to a score of ``start``.
+
+    Match +1. Of equal scores the one that takes in less of a, then less of b. ``band``: greatest difference of the places; only one
+    row of that width is held, so memory doesn't grow with the product of the lengths. An empty sequence can't be extended.
+    """
+    n, m = len(a), len(b)
+    band = max(n, m) if band is None else band
+    x, y = _bytes(a), _bytes(b)
+    width = min(m, band) + 1
+    at = np.arange(m + 1)
+    row = np.full(m + 1, NONE, dtype=np.int64)
+    row[:width] = start + indel * np.arange(width)
+    best = Extension(start, 0, 0)
+    for i in range(1, n + 1):
+        low, high = max(0, i - band), min(m, i + band)
+        if low > high:
+            break
+        new = np.full(high - low + 1, NONE, dtype=np.int64)
+        new = np.maximum(new, row[low : high + 1] + indel)
+        j = np.arange(max(low, 1), high + 1)
+        new[j - low] = np.maximum(new[j - low], row[j - 1] + np.where(y[j - 1] == x[i - 1], 1, mismatch))
+        fall = -indel * np.arange(len(new))
+        new = np.maximum.accumulate(new + fall) - fall
+        row[low : high + 1] = new
+        if low:
+            row[low - 1] = NONE
+        k = int(new.argmax())
+        if new[k] > best.score:
+            best = Extension(int(new[k]), i, int(at[low + k]))
+    return best
+
+
+def extension_column(a: Column, b: Column, band: int = 100) -> Column:
+    """struct<score, first_end, second_end> of :func:`extension` in a band, null if either is null."""
+
+    @F.pandas_udf("struct<score:int,first_end:int,second_end:int>")
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if p is None or q is None else extension(p, q, band=band) for p, q in zip(x, y, strict=True)]
+        return pd.DataFrame(rows, columns=["score", "first_end", "second_end"]).astype("Int32")
+
+    ship()
+    return run(a, b)

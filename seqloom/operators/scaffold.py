@@ -24,18 +24,26 @@ def similar_coverage(links: DataFrame, coverage: DataFrame, cutoff: float) -> Da
     return x.where((big > 0) & ((big - small) <= cutoff * big))
 
 
-def check_overlaps(links: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Links of negative mean distance stay only if the left contig's end and the right one's beginning overlap by more than 7.
-
-    ``seqs``: (name, seq). Adds (merged, overlap).
-    """
+def checked_links(links: DataFrame, seqs: DataFrame) -> DataFrame:
+    """All links with (merged, overlap, kept): those of negative mean distance are kept only if the left contig's end and the
+    right one's beginning overlap by more than 7. ``seqs``: (name, seq); links of contigs without a sequence have no row."""
     strand = lambda s, o: F.when(F.col(o) == "-", S.reverse_complement(F.col(s))).otherwise(F.col(s))
     x = links.join(seqs.select(F.col("name").alias("l_name"), F.col("seq").alias("ls")), "l_name").join(seqs.select(F.col("name").alias("r_name"), F.col("seq").alias("rs")), "r_name")
     near = F.greatest(F.ceil(-F.col("mean_distance")).cast("int") + 50, F.lit(50))
     x = x.withColumn("o", F.when(F.col("mean_distance") < 0, local_column(F.right(strand("ls", "l_ori"), near), F.expr("substring(CASE WHEN r_ori = '-' THEN translate(reverse(rs), 'ACGTacgt', 'TGCATGCA') ELSE rs END, 1, greatest(cast(ceil(-mean_distance) as int) + 50, 50))"))))
     size = F.coalesce(F.col("o.second_end") - F.col("o.second_start") + 1, F.lit(0))
     x = x.withColumn("overlap", size).withColumn("merged", F.col("mean_distance") < 0)
-    return x.where(~F.col("merged") | (F.col("overlap") > LEAST_OVERLAP)).drop("ls", "rs", "o")
+    return x.withColumn("kept", ~F.col("merged") | (F.col("overlap") > LEAST_OVERLAP)).drop("ls", "rs", "o")
+
+
+def check_overlaps(links: DataFrame, seqs: DataFrame) -> DataFrame:
+    """The links that are kept, with (merged, overlap)."""
+    return checked_links(links, seqs).where("kept").drop("kept")
+
+
+def discarded_links(links: DataFrame, seqs: DataFrame) -> DataFrame:
+    """The links that aren't, in the same columns."""
+    return checked_links(links, seqs).where("NOT kept").drop("kept")
 
 
 def scaffold_pairs(links: DataFrame, seqs: DataFrame) -> DataFrame:

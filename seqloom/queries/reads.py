@@ -55,12 +55,12 @@ VALID = "regexp_full_match(cigar, '([0-9]+[MIDNSHP=X])+')"
  regexp_matches(cigar, '^[0-9]+[SH]') AS cl, regexp_matches(cigar, '[A-Z=][0-9]+[SH]$') AS cr FROM a WHERE {VALID})
 SELECT aln_id, (CASE WHEN cl THEN 1 ELSE 0 END) + (CASE WHEN cr THEN 2 ELSE 0 END) AS clip_code, CASE WHEN cl AND cr THEN 'BOTH' WHEN cl THEN 'LEFT' WHEN cr THEN 'RIGHT' ELSE 'UNCLIP' END AS clip_type,
  l >= 10 OR r >= 10 AS qualified, {summed('cigar', 'M')} AS matched, {summed('cigar', 'MSHI')} AS query_length, {summed('cigar', 'MDN=X')} AS span,
- {FULL_SQL} AS fully, cigar = length(seq) || 'M' AS perfect FROM v""")
+ {FULL_SQL} AS fully, cigar = length(seq) || 'M' AS perfect, cigar = '101M' OR {summed('cigar', 'M')} > 0.85 * 101 AS fixed, array_to_string(list_transform(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]'), lambda x: CAST(x[:-2] AS BIGINT) || x[-1:]), '') AS rendered FROM v""")
 def cigar_features(spark: SparkSession, d: str) -> DataFrame:
     """P4 to P11, F6, F7"""
     c = F.col("cigar")
     a = records(spark, d, "aln_id", "cigar", "seq", where=C.is_valid(c))
-    return a.select("aln_id", C.clip_code(c).alias("clip_code"), C.clip_type(c).alias("clip_type"), C.is_qualified_clip(c, 10).alias("qualified"), C.matched(c).alias("matched"), C.query_length(c).alias("query_length"), C.reference_span(c).alias("span"), C.is_fully_mapped(c, 0.99).alias("fully"), C.is_perfectly_mapped(c, F.length("seq")).alias("perfect"))
+    return a.select("aln_id", C.clip_code(c).alias("clip_code"), C.clip_type(c).alias("clip_type"), C.is_qualified_clip(c, 10).alias("qualified"), C.matched(c).alias("matched"), C.query_length(c).alias("query_length"), C.reference_span(c).alias("span"), C.is_fully_mapped(c, 0.99).alias("fully"), C.is_perfectly_mapped(c, F.length("seq")).alias("perfect"), C.is_fully_mapped_fixed(c, 0.85, 101).alias("fixed"), C.render(C.parse(c)).alias("rendered"))
 
 
 @query(f"""WITH {SQL_A}, v AS (SELECT *, regexp_extract(cigar, '^[0-9]+([SH])', 1) AS f, regexp_extract(cigar, '[A-Z=][0-9]+([SH])$', 1) AS l FROM a WHERE {VALID} AND pos >= 1)
@@ -397,7 +397,7 @@ def best_bridges(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SQL_A}, o AS (SELECT aln_id, rname, pos, CASE WHEN (flag & 16) <> 0 THEN 'right' ELSE 'left' END AS side, lag(CASE WHEN (flag & 16) <> 0 THEN 'right' ELSE 'left' END) OVER w AS before_side, lag(pos) OVER w AS before_pos, lag(aln_id) OVER w AS before_aln_id FROM a WHERE rname IS NOT NULL AND pos >= 1 WINDOW w AS (PARTITION BY rname ORDER BY aln_id)) SELECT aln_id, rname, before_pos + 299 AS first, pos AS last FROM o WHERE before_side <> side AND before_aln_id = aln_id - 1")
 def paired_in_order(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours in file order on one scaffold and opposite sides span a stretch"""
+    """Neighbours in file order on one scaffold and opposite sides span a stretch"""
     a = records(spark, d, "aln_id", "rname", "pos", "flag", where="pos >= 1").where("rname IS NOT NULL").withColumn("side", F.when(B.has(F.col("flag"), 16), "right").otherwise("left"))
     x = A.consecutive_pairs(a.select("aln_id", "rname", "pos", "side"), "aln_id", ["rname"], "side")
     return x.select("aln_id", "rname", (F.col("before_pos") + 299).alias("first"), F.col("pos").alias("last"))

@@ -90,47 +90,33 @@ def kmers_as_reads(spark: SparkSession, d: str) -> DataFrame:
 PACKED = " + ".join(f"greatest(instr('ACGT', substr(kmer, {i + 1}, 1)) - 1, 0) * {4 ** (14 - i)}" for i in range(15))
 
 
-@query(f"SELECT DISTINCT kmer, CAST({PACKED} AS BIGINT) AS code, CAST((({PACKED}) * 4 + 2) % {4**15} AS BIGINT) AS rolled, kmer AS unpacked FROM kmer_nodes WHERE regexp_full_match(kmer, '[ACGT]{{15}}')")
+@query(f"SELECT DISTINCT kmer, CAST({PACKED} AS BIGINT) AS code, CAST((({PACKED}) * 4 + 2) % {4**15} AS BIGINT) AS rolled, kmer AS unpacked, CAST(instr('ATCG', upper(kmer[1])) - 1 AS INTEGER) AS first_code FROM kmer_nodes WHERE regexp_full_match(kmer, '[ACGT]{{15}}')")
 def packed_kmers(spark: SparkSession, d: str) -> DataFrame:
     """F9, F10"""
     code = S.pack_kmer(F.col("kmer"))
     x = table(spark, d, "kmer_nodes").where(F.col("kmer").rlike("^[ACGT]{15}$")).select("kmer").distinct().withColumn("code", code)
-    return x.select("kmer", "code", S.roll_kmer(F.col("code"), F.lit("G"), 15).alias("rolled"), S.unpack_kmer(F.col("code"), 15).alias("unpacked"))
+    return x.select("kmer", "code", S.roll_kmer(F.col("code"), F.lit("G"), 15).alias("rolled"), S.unpack_kmer(F.col("code"), 15).alias("unpacked"), S.base_code(F.substring("kmer", 1, 1)).alias("first_code"))
 
 
-NEAR = "k AS (SELECT DISTINCT substr(kmer, 1, 6) AS kmer FROM kmer_nodes WHERE kmer IS NOT NULL)"
-
-
-@query(f"WITH {NEAR}, b(b) AS (VALUES ('A'), ('C'), ('G'), ('T')) SELECT kmer, substr(kmer, 1, i - 1) || b AS changed_start, substr(kmer, 1, i - 1) || b || substr(kmer, i + 1) AS neighbour FROM k, unnest(range(1, 7)) u(i), b WHERE b <> substr(kmer, i, 1)")
-def neighbour_kmers(spark: SparkSession, d: str) -> DataFrame:
-    """F12"""
-    k = table(spark, d, "kmer_nodes").where("kmer IS NOT NULL").select(F.substring("kmer", 1, 6).alias("kmer")).distinct()
-    x = k.select("kmer", F.posexplode(S.neighbours(F.col("kmer"))).alias("i", "neighbour"))
-    return x.select("kmer", F.expr("substring(neighbour, 1, cast(i div 3 as int) + 1)").alias("changed_start"), "neighbour")
-
-
-@query(f"WITH {NEAR}, b(b) AS (VALUES ('A'), ('C'), ('G'), ('T')) SELECT kmer, substr(kmer, 2) || b AS shifted FROM k, b UNION ALL SELECT kmer, b || substr(kmer, 1, 5) FROM k, b")
-def shifted_kmers(spark: SparkSession, d: str) -> DataFrame:
-    """F12"""
-    return table(spark, d, "kmer_nodes").where("kmer IS NOT NULL").select(F.substring("kmer", 1, 6).alias("kmer")).distinct().select("kmer", F.explode(S.shifted(F.col("kmer"))).alias("shifted"))
+NEAR = "k AS (SELECT DISTINCT kmer FROM kmer_nodes WHERE kmer IS NOT NULL)"
 
 
 def _whole_kmers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "kmer_nodes").where("kmer IS NOT NULL").select("kmer").distinct()
 
 
-@query()
-def whole_neighbour_kmers(spark: SparkSession, d: str) -> DataFrame:
-    """F12 on the whole k-mers: every place is changed (``neighbour_kmers`` has the first 6 letters only, as its SQL)"""
+@query(f"WITH {NEAR}, b(b) AS (VALUES ('A'), ('C'), ('G'), ('T')) SELECT kmer, substr(kmer, 1, i - 1) || b AS changed_start, substr(kmer, 1, i - 1) || b || substr(kmer, i + 1) AS neighbour FROM k, unnest(range(1, length(kmer) + 1)) u(i), b WHERE b <> substr(kmer, i, 1)")
+def neighbour_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """every place of the whole k-mer is changed"""
     x = _whole_kmers(spark, d).select("kmer", F.explode(S.neighbours(F.col("kmer"))).alias("neighbour"))
     # the changed place: a letter other than A, C, G and T has four neighbours, so it isn't told by the neighbour's number
     place = "filter(sequence(1, length(kmer)), i -> substring(kmer, i, 1) <> substring(neighbour, i, 1))[0]"
     return x.select("kmer", F.expr(f"left(neighbour, {place})").alias("changed_start"), "neighbour")
 
 
-@query()
-def whole_shifted_kmers(spark: SparkSession, d: str) -> DataFrame:
-    """F12 on the whole k-mers (``shifted_kmers`` has the first 6 letters only, as its SQL)"""
+@query(f"WITH {NEAR}, b(b) AS (VALUES ('A'), ('C'), ('G'), ('T')) SELECT kmer, substr(kmer, 2) || b AS shifted FROM k, b UNION ALL SELECT kmer, b || substr(kmer, 1, length(kmer) - 1) FROM k, b")
+def shifted_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """F12"""
     return _whole_kmers(spark, d).select("kmer", F.explode(S.shifted(F.col("kmer"))).alias("shifted"))
 
 
@@ -213,10 +199,17 @@ def perfectly_contained_contigs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SQL_C}, {INSIDE} SELECT DISTINCT qname AS name FROM i")
 def contained_names(spark: SparkSession, d: str) -> DataFrame:
-    """commands K and T, P21"""
+    """command K, P21"""
     return D.contained(_inside(spark, d), 0.85)
 
 
+@query(f"WITH {SQL_C}, {INSIDE} SELECT DISTINCT qname AS name FROM i WHERE right(qname, 1) = 'h' AND right(rname, 1) <> 'h'")
+def mapped_on_other_set(spark: SparkSession, d: str) -> DataFrame:
+    """command T: the halves are the second set"""
+    i = _inside(spark, d)
+    return D.mapped_on_other(i.where(F.endswith("qname", F.lit("h")) & ~F.endswith("rname", F.lit("h"))), 0.85)
+
+
 @query(f"WITH {SQL_C} SELECT min(rec_id) AS rec_id, qname FROM c GROUP BY qname")
 def unique_contigs(spark: SparkSession, d: str) -> DataFrame:
     """A16, O4, command U"""
@@ -238,26 +231,19 @@ def remaining_gaps(spark: SparkSession, d: str) -> DataFrame:
     return remaining(gaps(spark, d).select("gap_id", "scaffold", "gap_start", "gap_end"), picked)
 
 
-@query(f"WITH {SQL_C} SELECT gap_id, split_part(qname, '_', 1) || '_' || split_part(qname, '_', 2) || '_' || name AS contig FROM c WHERE gap_id IS NOT NULL AND starts_with(qname, '30') UNION ALL SELECT gap_id, 'hq_' || name FROM c WHERE gap_id IS NOT NULL AND mapq = 60")
+@query(f"WITH {SQL_C} SELECT gap_id, split_part(qname, '_', 1) || '_' || split_part(qname, '_', 2) || '_' || name AS contig FROM c WHERE gap_id IS NOT NULL UNION ALL SELECT gap_id, 'hq_' || name FROM c WHERE gap_id IS NOT NULL AND mapq = 60")
 def united_contigs(spark: SparkSession, d: str) -> DataFrame:
     """U2, U3, U4, K14, P20"""
     c = contigs(spark, d).where("gap_id IS NOT NULL")
     p = F.split("qname", "_")
-    one = c.where(F.col("qname").startswith("30")).select("gap_id", F.concat_ws("_", F.get(p, F.lit(0)), F.get(p, F.lit(1)), "name").alias("contig"))
+    one = c.select("gap_id", F.concat_ws("_", F.get(p, F.lit(0)), F.get(p, F.lit(1)), "name").alias("contig"))
     return one.unionByName(c.where("mapq = 60").select("gap_id", F.concat(F.lit("hq_"), "name").alias("contig")))
 
 
-@query(f"""WITH {SQL_C}, v AS (SELECT rname, i, substr(seq, i, 1) AS base, sum(mapq) AS w FROM c, unnest(range(1, 31)) u(i) WHERE length(seq) >= 30 AND rname IS NOT NULL GROUP BY ALL),
-b AS (SELECT rname, i, base FROM v QUALIFY row_number() OVER (PARTITION BY rname, i ORDER BY w DESC, instr('ATCGN', base), base DESC) = 1) SELECT rname, string_agg(base, '' ORDER BY i) AS consensus FROM b GROUP BY rname""")
-def consensus_heads(spark: SparkSession, d: str) -> DataFrame:
-    """The first 30 bases of a scaffold's contigs, weighted by mapq"""
-    c = contigs(spark, d).where("length(seq) >= 30 AND rname IS NOT NULL").select("rname", F.substring("seq", 1, 30).alias("head"), "mapq")
-    return A.consensus(c, "rname", "head", "mapq")
-
-
-@query()
-def whole_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """A12 on a scaffold's whole contigs of any length; a contig has no vote behind its end (``consensus_heads`` has 30 bases, as its SQL)"""
+@query(f"""WITH {SQL_C}, v AS (SELECT rname, i, substr(seq, i, 1) AS base, sum(mapq) AS w FROM c, unnest(range(1, length(seq) + 1)) u(i) WHERE seq IS NOT NULL AND rname IS NOT NULL GROUP BY ALL),
+b AS (SELECT rname, i, base FROM v QUALIFY row_number() OVER (PARTITION BY rname, i ORDER BY w DESC NULLS LAST, instr('ATCGN', base), base DESC) = 1) SELECT rname, string_agg(base, '' ORDER BY i) AS consensus FROM b GROUP BY rname""")
+def consensus_of_contigs(spark: SparkSession, d: str) -> DataFrame:
+    """A scaffold's contigs, weighted by mapq; a contig has no vote behind its end"""
     return A.consensus(contigs(spark, d).where("seq IS NOT NULL AND rname IS NOT NULL").select("rname", "seq", "mapq"), "rname", "seq", "mapq")
 
 
@@ -275,20 +261,20 @@ def fasta_values(spark: SparkSession, d: str) -> DataFrame:
     return contigs(spark, d).where("seq IS NOT NULL").select("rec_id", S.wrap(F.col("seq")).alias("wrapped"), S.trim_true(F.col("seq")).alias("trimmed"), F.concat(F.lit(">"), "name").alias("header"))
 
 
-@query(f"""WITH {SQL_C}, o AS (SELECT gap_id, rec_id, seq, lead(seq) OVER (PARTITION BY gap_id ORDER BY rec_id) AS following FROM c WHERE gap_id IS NOT NULL AND length(seq) >= 60)
-SELECT rec_id, seq || repeat('N', 12) || following AS apart, seq || substr(following, 8) AS lapped, CASE WHEN 20 + 30 - 1 <= 50 THEN substr(seq, 20 + 30, 50 - (20 + 30 - 1)) END AS forward_fill, left(seq, 10) || 'NN' || right(following, 10) AS extended FROM o WHERE following IS NOT NULL""")
+@query(f"""WITH {SQL_C}, o AS (SELECT gap_id, rec_id, seq, lead(seq) OVER (PARTITION BY gap_id ORDER BY rec_id) AS following FROM c WHERE gap_id IS NOT NULL AND seq IS NOT NULL)
+SELECT rec_id, seq || repeat('N', 12) || following AS apart, seq || substr(following, 8) AS lapped, CASE WHEN 20 + 30 - 1 <= 50 THEN substr(seq, 20 + 30, 50 - (20 + 30 - 1)) END AS forward_fill, translate(reverse(substr(seq, 20 + 30, 90 - (20 + 30 - 1))), 'ACGTacgt', 'TGCATGCA') AS reverse_fill, left(seq, 10) || 'NN' || right(following, 10) AS extended FROM o WHERE following IS NOT NULL""")
 def joined_contigs(spark: SparkSession, d: str) -> DataFrame:
     """F17, F18, F20"""
     from pyspark.sql.window import Window
 
-    c = contigs(spark, d).where("gap_id IS NOT NULL AND length(seq) >= 60").withColumn("following", F.lead("seq").over(Window.partitionBy("gap_id").orderBy("rec_id"))).where("following IS NOT NULL")
+    c = contigs(spark, d).where("gap_id IS NOT NULL AND seq IS NOT NULL").withColumn("following", F.lead("seq").over(Window.partitionBy("gap_id").orderBy("rec_id"))).where("following IS NOT NULL")
     s, n = F.col("seq"), F.col("following")
-    return c.select("rec_id", S.join_scaffolds(s, n, F.lit(12)).alias("apart"), S.join_scaffolds(s, n, F.lit(-7)).alias("lapped"), S.bridge_fill(s, F.lit(20), F.lit(30), F.lit(50), F.lit(10), F.lit(False)).alias("forward_fill"), S.extended_fill(F.left(s, F.lit(10)), F.right(n, F.lit(10))).alias("extended"))
+    return c.select("rec_id", S.join_scaffolds(s, n, F.lit(12)).alias("apart"), S.join_scaffolds(s, n, F.lit(-7)).alias("lapped"), S.bridge_fill(s, F.lit(20), F.lit(30), F.lit(50), F.lit(10), F.lit(False)).alias("forward_fill"), S.bridge_fill(s, F.lit(90), F.lit(10), F.lit(20), F.lit(30), F.lit(True)).alias("reverse_fill"), S.extended_fill(F.left(s, F.lit(10)), F.right(n, F.lit(10))).alias("extended"))
 
 
 @query(f"WITH {SQL_C}, s AS (SELECT rname, string_agg(DISTINCT gap_id, ',' ORDER BY gap_id) AS gaps FROM c WHERE rname IS NOT NULL AND gap_id IS NOT NULL GROUP BY rname) SELECT * FROM s")
 def gaps_of_scaffold(spark: SparkSession, d: str) -> DataFrame:
-    """S15, A19"""
+    """A19"""
     return contigs(spark, d).where("rname IS NOT NULL AND gap_id IS NOT NULL").groupBy("rname").agg(F.array_join(F.array_sort(F.collect_set("gap_id")), ",").alias("gaps"))
 
 
@@ -319,13 +305,74 @@ def contig_components(spark: SparkSession, d: str) -> DataFrame:
     return G.weak_components(_inside(spark, d), "qname", "rname")
 
 
-@query(f"""WITH RECURSIVE {SQL_C}, {INSIDE}, t AS (SELECT DISTINCT rname AS node, 0 AS depth FROM i WHERE rlen > 300 UNION SELECT i.qname, t.depth + 1 FROM t JOIN i ON i.rname = t.node WHERE t.depth < 30 AND i.qlen < i.rlen) SELECT node, min(depth) AS depth FROM t GROUP BY node""")
+@query(f"""WITH RECURSIVE {SQL_C}, {INSIDE}, t AS (SELECT DISTINCT rname AS node, 0 AS depth FROM i WHERE rlen > 300 UNION SELECT i.qname, t.depth + 1 FROM t JOIN i ON i.rname = t.node WHERE i.qlen < i.rlen) SELECT node, min(depth) AS depth FROM t GROUP BY node""")
 def reached_contigs(spark: SparkSession, d: str) -> DataFrame:
-    """G8, G7"""
+    """G8"""
     i = _inside(spark, d)
     return G.reach(i.where("qlen < rlen"), i.where("rlen > 300").select(F.col("rname").alias("node")), "rname", "qname")
 
 
+PATHS = """e AS (SELECT DISTINCT rname AS s, qname AS t FROM i WHERE qlen < rlen), p AS (SELECT s AS root, [s] AS path FROM (SELECT DISTINCT s FROM e WHERE s NOT IN (SELECT t FROM e)) r
+ UNION ALL SELECT root, list_append(path, t) FROM p JOIN e ON e.s = path[-1] WHERE NOT list_contains(path, t) AND len(path) < 4)"""
+
+
+@query(f"WITH RECURSIVE {SQL_C}, {INSIDE}, {PATHS} SELECT root, array_to_string(path, ' ') AS path FROM p WHERE len(path) = 4 OR path[-1] NOT IN (SELECT s FROM e)")
+def bounded_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Longest chains of contigs that lie in each other, of at most four"""
+    i = _inside(spark, d).where("qlen < rlen")
+    return G.maximal_paths(i, "rname", "qname", 4).select("root", F.array_join("path", " ").alias("path"))
+
+
+GOOD = "regexp_full_match(cigar, '([0-9]+[MIDNSHP=X])+') AND greatest(coalesce(try_cast(nullif(regexp_extract(cigar, '^([0-9]+)[SH]', 1), '') AS BIGINT), 0), coalesce(try_cast(nullif(regexp_extract(cigar, '[A-Z=]([0-9]+)[SH]$', 1), '') AS BIGINT), 0)) < 20"
+
+
+@query(f"WITH {SQL_C}, {SQL_G}, h AS (SELECT DISTINCT gap_id || '_' || qname AS id FROM c WHERE gap_id IS NOT NULL AND {GOOD}) SELECT id, g.gap_id, gap_len FROM h JOIN g ON g.gap_id = split_part(id, '_', 1) || '_' || split_part(id, '_', 2)")
+def closed_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """The contigs that lie on their scaffold unclipped, with the lengths of their gaps"""
+    from seqloom.operators.evaluate import closed_gaps as f
+    from seqloom.operators.evaluate import hit_list
+
+    c = contigs(spark, d).where("gap_id IS NOT NULL").withColumn("id", F.concat_ws("_", "gap_id", "qname"))
+    return f(hit_list(c, "id"), gaps(spark, d))
+
+
+@query(f"WITH {SQL_C} SELECT count(DISTINCT gap_id) FILTER ({GOOD}) AS hits, count(DISTINCT qname) AS sequences FROM c")
+def hits_and_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """A17, K16"""
+    from seqloom.operators.evaluate import hits_and_sequences as f
+
+    return f(contigs(spark, d), "qname", "gap_id")
+
+
+@query(f"WITH {SQL_C}, {INSIDE} SELECT DISTINCT qname AS name FROM i WHERE (qlen - 1) / rlen >= 0.4")
+def covering_contigs(spark: SparkSession, d: str) -> DataFrame:
+    """The roles of the two are exchanged, so that a hit covers a part"""
+    from seqloom.operators.evaluate import covering_queries
+
+    i = _inside(spark, d).withColumns({"pair": F.concat_ws(" ", "qname", "rname")})
+    hits = i.select(F.col("pair").alias("query"), F.col("rname").alias("subject"), F.lit(1).alias("q_start"), F.col("qlen").alias("q_end"))
+    found = covering_queries(hits, i.select(F.col("pair").alias("name"), F.col("rlen").alias("length")), 0.4)
+    return found.select(F.substring_index("name", " ", 1).alias("name")).distinct()
+
+
+@query(f"""WITH {SQL_C}, o AS (SELECT rec_id, gap_id, pos, CAST(split_part(gap_id, '_', 1) AS INTEGER) = try_cast(substr(rname, 5) AS INTEGER) AS own FROM c WHERE pos IS NOT NULL AND gap_id IS NOT NULL),
+l AS (SELECT *, lag(gap_id) OVER (ORDER BY rec_id) AS bg, lag(pos) OVER (ORDER BY rec_id) AS bp FROM o), s AS (SELECT gap_id, bp + 295 AS first, pos AS last FROM l WHERE bg = gap_id AND own QUALIFY row_number() OVER (PARTITION BY gap_id ORDER BY rec_id DESC) = 1) SELECT * FROM s WHERE first <= last""")
+def filled_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Two contigs of a gap that follow each other stand for its flanks"""
+    from seqloom.operators.evaluate import filled_stretches as f
+
+    own = F.split("gap_id", "_")[0].try_cast("int") == F.substring("rname", 5, 20).try_cast("int")
+    return f(contigs(spark, d).withColumn("own", own), "rec_id", "gap_id", "pos", "own")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY scf_ord) - 1 AS BIGINT) AS id, scf_name AS name FROM scaffolds")
+def reference_ids(spark: SparkSession, d: str) -> DataFrame:
+    """S22, W2"""
+    from seqloom.sources.text import ids_of
+
+    return ids_of(table(spark, d, "scaffolds"), "scf_ord", "scf_name")
+
+
 # ---- alignment and graph operators, tested against restatements and known answers instead of SQL
 
 
@@ -339,7 +386,7 @@ def verified_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def self_alignments(spark: SparkSession, d: str) -> DataFrame:
-    """J9, J20, D4"""
+    """J9, D4"""
     return D.self_alignments(_with_parts(spark, d).where("seq IS NOT NULL"), "gap_id", "name", "seq")
 
 
@@ -358,7 +405,14 @@ def merged_contigs(spark: SparkSession, d: str) -> DataFrame:
     return G.merge_contigs(contigs(spark, d).where("gap_id IS NOT NULL AND seq IS NOT NULL"), "gap_id", "name", "seq")
 
 
-@query()
+UNITIGS = """n AS (SELECT gap_id, substr(seq, i, 31) AS kmer, count(*) AS n FROM c, unnest(range(1, length(seq) - 29)) u(i) WHERE gap_id IS NOT NULL AND regexp_full_match(substr(seq, i, 31), '[ACGT]{31}') GROUP BY ALL),
+e AS (SELECT x.gap_id, x.kmer AS a, y.kmer AS b FROM n x JOIN n y ON x.gap_id = y.gap_id AND substr(x.kmer, 2) = substr(y.kmer, 1, 30)),
+l AS (SELECT * FROM e QUALIFY count(*) OVER (PARTITION BY gap_id, a) = 1 AND count(*) OVER (PARTITION BY gap_id, b) = 1),
+t AS (SELECT gap_id, kmer AS cur, kmer AS seq, n AS total, 1 AS k FROM n WHERE (gap_id, kmer) NOT IN (SELECT (gap_id, b) FROM l)
+ UNION ALL SELECT t.gap_id, l.b, t.seq || right(l.b, 1), t.total + n.n, k + 1 FROM t JOIN l ON l.gap_id = t.gap_id AND l.a = t.cur JOIN n ON n.gap_id = l.gap_id AND n.kmer = l.b)"""
+
+
+@query(f"WITH RECURSIVE {SQL_C}, {UNITIGS} SELECT gap_id, seq, total / k AS mean_count FROM t WHERE (gap_id, cur) NOT IN (SELECT (gap_id, a) FROM l)")
 def gap_unitigs(spark: SparkSession, d: str) -> DataFrame:
     """Section 2.15: our own assembler on the contigs' k-mers"""
     n = K.kmer_counts(contigs(spark, d).where("gap_id IS NOT NULL"), ["gap_id"], "seq", 31)
@@ -368,15 +422,19 @@ def gap_unitigs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def scaffold_pairs(spark: SparkSession, d: str) -> DataFrame:
     """G10, command S: contigs that follow each other on their scaffold, at their distance there, whatever it is"""
-    from pyspark.sql.window import Window
-
     from seqloom.operators.scaffold import scaffold_pairs as f
 
+    return f(*_neighbour_links(spark, d))
+
+
+def _neighbour_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Contigs and the links of those that follow each other on their scaffold."""
+    from seqloom.operators.ordered import scan
+
     c = contigs(spark, d).where("seq IS NOT NULL AND rname IS NOT NULL AND pos >= 1")
-    w = Window.partitionBy("rname").orderBy("pos", "name")
-    x = c.withColumns({"r_name": F.lead("name").over(w), "r_pos": F.lead("pos").over(w)}).where("r_name IS NOT NULL")
-    links = x.select(F.col("name").alias("l_name"), "r_name", F.lit("+").alias("l_ori"), F.lit("+").alias("r_ori"), F.lit(2).cast("long").alias("pairs"), (F.col("r_pos") - F.col("pos") - F.length("seq")).cast("double").alias("mean_distance"))
-    return f(links, c.select("name", "seq"))
+    x = scan(c.select("rname", "pos", "name", F.length("seq").alias("bases")), ["rname"], ["pos", "name"], lasts={"l": F.struct("name", "pos", "bases")}, before=True).where("l IS NOT NULL")
+    links = x.select(F.col("l.name").alias("l_name"), F.col("name").alias("r_name"), F.lit("+").alias("l_ori"), F.lit("+").alias("r_ori"), F.lit(2).cast("long").alias("pairs"), (F.col("pos") - F.col("l.pos") - F.col("l.bases")).cast("double").alias("mean_distance"))
+    return links, c.select("name", "seq")
 
 
 @query()
@@ -404,3 +462,21 @@ def simple_paths(spark: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame(rows, columns=["gap_id", "root", "path"])
 
     return edges.groupBy("gap_id").applyInPandas(run, "gap_id string, root string, path array<string>")
+
+
+@query()
+def discarded_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links whose contigs don't overlap as they should"""
+    from seqloom.operators.scaffold import discarded_links as f
+
+    return f(*_neighbour_links(spark, d))
+
+
+@query()
+def picked_against_truth(spark: SparkSession, d: str) -> DataFrame:
+    """A gap's well placed contigs against its longest one, which stands for the true sequence"""
+    from seqloom.operators.evaluate import against_truth
+
+    c = contigs(spark, d).where("gap_id IS NOT NULL AND seq IS NOT NULL")
+    truth = c.groupBy("gap_id").agg(F.max_by("seq", F.struct(F.length("seq"), "name")).alias("seq"))
+    return against_truth(c.where("mapq >= 30").select("gap_id", "name", "seq"), truth)

@@ -63,3 +63,8 @@ def gml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def link_lines(links: DataFrame) -> DataFrame:
     """A linkage table as tab-separated text in the columns' order."""
     return links.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in links.columns]).alias("value"))
+
+
+def write_id_names(ids: DataFrame, path: str) -> None:
+    """Numbers and names as text, for :func:`seqloom.sources.text.id_names`."""
+    ids.select(F.concat_ws(" ", F.col("id").cast("string"), "name").alias("value")).write.mode("overwrite").text(path)

@@ -131,3 +131,37 @@ def kmer_table(spark: SparkSession, path: str) -> DataFrame:
     f = F.split(F.trim("value"), r"\s+")
     x = spark.read.text(path).where("trim(value) <> ''").select(F.monotonically_increasing_id().alias("ord"), F.get(f, F.lit(0)).alias("kmer"), F.get(f, F.lit(1)).try_cast("double").alias("freq"))
     return first_of_each(x, "ord")
+
+
+def gap_reads(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (qname, gap_ord, side, kind, map_pos, mate_ref, mate_pos, gap_len) of lists of reads that belong to gaps, one white-space line each.
+
+    Lists of discordant reads have the first two columns only, and lists of clipped reads the first four; the rest is null there.
+    Lines without two columns are left out.
+    """
+    f = F.split(F.trim("value"), r"\s+")
+    get = lambda i, kind: F.get(f, F.lit(i)) if kind == "string" else F.get(f, F.lit(i)).try_cast(kind)
+    names = (("qname", "string"), ("gap_ord", "int"), ("side", "string"), ("kind", "string"), ("map_pos", "int"), ("mate_ref", "string"), ("mate_pos", "int"), ("gap_len", "int"))
+    return spark.read.text(path).where(F.size(f) >= 2).select(*[get(i, kind).alias(n) for i, (n, kind) in enumerate(names)])
+
+
+def discordant_places(reads: DataFrame, scaffold: Column) -> DataFrame:
+    """Rows (rname, place, gaps) of :func:`gap_reads`: where the mates of discordant reads lie, with the gaps that sent one there.
+
+    ``scaffold``: that of the list; a mate on ``=`` lies there too.
+    """
+    x = reads.where("kind = 'discordant' AND mate_pos IS NOT NULL").select(F.when(F.col("mate_ref") == "=", scaffold).otherwise(F.col("mate_ref")).alias("rname"), F.col("mate_pos").alias("place"), F.concat_ws("_", scaffold, F.col("gap_ord").cast("string")).alias("gap"))
+    return x.groupBy("rname", "place").agg(F.array_sort(F.collect_set("gap")).alias("gaps"))
+
+
+def id_names(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (id, name) of a table of numbers and names."""
+    f = F.split(F.trim("value"), r"\s+", 2)
+    return spark.read.text(path).where("trim(value) <> ''").select(F.get(f, F.lit(0)).try_cast("long").alias("id"), F.get(f, F.lit(1)).alias("name"))
+
+
+def ids_of(index: DataFrame, order: str = "ord", name: str = "name") -> DataFrame:
+    """Rows (id, name): the names of an index numbered from 0 in its order, by ranges of rows."""
+    from seqloom.operators.ordered import scan
+
+    return scan(index.select(F.col(order).alias("__o"), F.col(name).alias("name")), [], ["__o"], {"id": F.lit(1)}, before=True).select("id", "name")
