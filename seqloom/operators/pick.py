@@ -35,11 +35,12 @@ def pick_bridging(alns: DataFrame, contigs: DataFrame, least: int = -1) -> DataF
     return best.join(contigs, ["gap_id", "contig"]).select("gap_id", "contig", "reverse", "span", fill.alias("fill"))
 
 
-def pick_extended(alns: DataFrame, contigs: DataFrame, parity: bool = False) -> DataFrame:
+def pick_extended(alns: DataFrame, contigs: DataFrame, parity: bool = False, inset: int = 0) -> DataFrame:
     """For gaps without a bridge: what one contig adds to the left flank, NN, and what another adds to the right one.
 
     Only hits clipped at the end that faces the gap: the left flank's right end, the right flank's left end, mirrored on the
     reverse strand. The longest match wins, the first by name of equals. ``parity`` takes every non-zero flag for the reverse strand.
+    ``inset``: bases between a flank and its gap, which are cut off here.
     """
     h = flank_hits(alns).withColumn("reverse", (F.col("flag") != 0) if parity else (F.col("flag").bitwiseAND(16) != 0))
     facing = F.when(F.col("side") == "left", F.when(F.col("reverse"), "LEFT").otherwise("RIGHT")).otherwise(F.when(F.col("reverse"), "RIGHT").otherwise("LEFT"))
@@ -51,6 +52,8 @@ def pick_extended(alns: DataFrame, contigs: DataFrame, parity: bool = False) ->
     ahead = F.col("reverse") == (F.col("side") == "right")
     piece = F.when(ahead, behind).otherwise(before)
     piece = F.when(F.col("reverse"), S.reverse_complement(piece)).otherwise(piece)
+    if inset:
+        piece = F.when(F.col("side") == "left", F.substring(piece, F.lit(inset + 1), F.length(piece))).otherwise(F.left(piece, F.greatest(F.length(piece) - inset, F.lit(0))))
     sides = best.select("gap_id", "side", piece.alias("piece")).groupBy("gap_id").agg(F.max(F.when(F.col("side") == "left", F.col("piece"))).alias("l"), F.max(F.when(F.col("side") == "right", F.col("piece"))).alias("r"))
     return sides.select("gap_id", S.extended_fill(F.col("l"), F.col("r")).alias("fill"))
 

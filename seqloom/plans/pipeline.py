@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqloom.functions import seq as S
-from seqloom.operators import graph, joins, kmers, pick
+from seqloom.operators import dedup, graph, joins, kmers, pick
 from seqloom.operators.align import local_column, spread
 from seqloom.operators.ordered import scan
 from seqloom.records import cut
@@ -57,14 +57,19 @@ def align_flanks(flanks: DataFrame, contigs: DataFrame, least: int = 30) -> Data
 def fill_round(flanks: DataFrame, reads: DataFrame, ks: list[int], least: int, least_score: int) -> DataFrame:
     """One round for some gaps: assemble, merge, align flanks, pick. Rows (gap_id, fill).
 
-    A picked fill begins behind the left flank and holds the first base of the right one; flanks lie ``INSET`` bases off the gap.
-    Those bases stand in the scaffold too, so they are cut off here for an exact splice.
+    Flanks lie ``INSET`` bases off the gap; those bases stand in the scaffold too, so they are cut off here for an exact splice.
     """
     contigs = cut(assemble(reads, ks, least))
     merged = graph.merge_contigs(contigs, "gap_id", "name", "seq").where("reason IS NULL").select("gap_id", "name", "seq")
     every = cut(contigs.unionByName(merged))
     picked = pick.pick_bridging(align_flanks(flanks, every, least_score), every.withColumnRenamed("name", "contig"), 2 * INSET)
-    return picked.select("gap_id", F.substring("fill", F.lit(INSET + 1), F.length("fill") - (2 * INSET + 1)).alias("fill"))
+    return picked.select("gap_id", _between(F.col("fill"), F.col("reverse")).alias("fill"))
+
+
+def _between(fill: Column, reverse: Column) -> Column:
+    """A picked fill without the bases between the flanks and the gap, and without the one of a flank that it holds: the first of the
+    right one, or on a contig that lies the other way round the last of the left one."""
+    return F.substring(fill, F.when(reverse, INSET + 2).otherwise(INSET + 1), F.length(fill) - (2 * INSET + 1))
 
 
 def fill_gaps(scaffolds: DataFrame, gaps: DataFrame, reads: DataFrame, ks: tuple[int, ...] = (31,), flank: int = 300, rounds: tuple[tuple[int, int], ...] = ((2, 30), (1, 15))) -> DataFrame:
@@ -81,6 +86,69 @@ def fill_gaps(scaffolds: DataFrame, gaps: DataFrame, reads: DataFrame, ks: tuple
     return done
 
 
+def rescued_reads(unmapped: DataFrame, contigs: DataFrame, k: int = 31) -> DataFrame:
+    """Reads (gap_id, seq) out of pairs that lie on no scaffold (qname, mate, seq): those that share k bases with a gap's contigs, and their mates.
+
+    Either strand counts. The mate comes along if it lies on no contig, or on another gap's. Null sequences lie nowhere.
+    """
+    both = contigs.select("gap_id", "seq").union(contigs.select("gap_id", S.reverse_complement(F.col("seq")).alias("seq")))
+    known = kmers.kmer_counts(both, ["gap_id"], "seq", k).select("gap_id", "kmer")
+    ids = unmapped.where("seq IS NOT NULL").select("qname", "mate", F.explode(S.kmers(F.col("seq"), k)).alias("kmer")).distinct()
+    hits = cut(ids.join(known, "kmer").select("qname", "mate", "gap_id").distinct())
+    mates = hits.select("qname", (3 - F.col("mate")).alias("mate"), F.col("gap_id").alias("mate_gap"))
+    aligned = hits.join(mates, ["qname", "mate"], "left").select("qname", "mate", "gap_id", F.when(F.col("mate_gap").isNull(), 8).otherwise(0).alias("flag"), "mate_gap")
+    wanted = hits.unionByName(joins.rescue_mates(aligned, unmapped.select("qname", "mate")).select("qname", "mate", "gap_id")).distinct()
+    return wanted.join(unmapped, ["qname", "mate"]).select("gap_id", "seq")
+
+
+def merged_ones(contigs: DataFrame) -> DataFrame:
+    """The merged sequences of every gap's contigs, those that lie within another left out before."""
+    named = contigs.withColumn("name", F.concat_ws(":", "gap_id", "name"))
+    inside = dedup.contained_or_smaller(dedup.exact_containments(named, "gap_id", "name", "seq"), 0.85)
+    return graph.merge_contigs(dedup.without(named, "name", inside), "gap_id", "name", "seq").where("reason IS NULL").select("gap_id", "name", "seq")
+
+
+def fill_run(scaffolds: DataFrame, gaps: DataFrame, reads: DataFrame, unmapped: DataFrame, high_quality: DataFrame, ks: tuple[int, ...] = (31,), flank: int = 300, least: int = 2, scores: tuple[int, int] = (30, 15)) -> DataFrame:
+    """The whole filling, in the order of the steps below, each for the gaps that are still open: rows (gap_id, fill, step).
+
+    first: assemble, merge, pick. assembly: with the rescued reads of pairs that lie on no scaffold, assemble again, pick. merging: merge
+    those contigs, pick. quality: merge them with the gap's high-quality reads, pick with the lower score. extended: what reaches
+    into the gap from either side, apart by NN.
+
+    ``reads``: (gap_id, seq), dispatched; ``unmapped``: (qname, mate, seq); ``high_quality``: (gap_id, name, seq), reads clipped on several
+    contigs; both may be empty. ``least``: least count of a k-mer. A gap without any contig has no row.
+    """
+    pairs = flank_pairs(scaffolds, gaps, flank)
+    done: list[DataFrame] = []
+
+    def still(df: DataFrame) -> DataFrame:
+        for x in done:
+            df = df.join(x.select("gap_id"), "gap_id", "left_anti")
+        return df
+
+    def picked(contigs: DataFrame, score: int, step: str) -> None:
+        p = pick.pick_bridging(align_flanks(still(pairs), contigs, score), contigs.withColumnRenamed("name", "contig"), 2 * INSET)
+        done.append(cut(p.select("gap_id", _between(F.col("fill"), F.col("reverse")).alias("fill"), F.lit(step).alias("step"))))
+
+    first = cut(assemble(reads, list(ks), least))
+    picked(cut(first.unionByName(merged_ones(first))), scores[0], "first")
+    more = rescued_reads(unmapped, still(first), min(ks))
+    second = cut(assemble(still(reads.select("gap_id", "seq").unionByName(more)), list(ks), least))
+    picked(second, scores[0], "assembly")
+    second = still(second)
+    picked(cut(merged_ones(second)), scores[0], "merging")
+    third = cut(still(second).unionByName(still(high_quality.select("gap_id", "name", "seq"))))
+    third = cut(third.unionByName(merged_ones(third)))
+    picked(third, scores[1], "quality")
+    open_ones = still(third)
+    ends = pick.pick_extended(align_flanks(still(pairs), open_ones, scores[1]), open_ones.withColumnRenamed("name", "contig"), inset=INSET)
+    done.append(ends.where("fill <> 'NN'").select("gap_id", "fill", F.lit("extended").alias("step")))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def collect_reads(alignments: DataFrame, raw: DataFrame, gaps: DataFrame, libraries: DataFrame, reach: int) -> DataFrame:
     """Raw reads of every gap: (gap_id, qname, mate, seq, qual) of those selected by their alignments."""
     return joins.dispatch(raw, joins.select_reads(alignments, gaps, libraries, reach)).select("gap_id", "qname", "mate", "seq", "qual")

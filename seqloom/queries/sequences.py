@@ -13,7 +13,7 @@ from seqloom.operators import kmers as K
 from seqloom.operators.align import comparisons_column, local_column, spread, verify_pairs
 from seqloom.plans import pipeline as P
 from seqloom.queries.common import SQL_C, SQL_D, SQL_G, contigs, dna, gaps
-from seqloom.records import table
+from seqloom.records import cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -356,13 +356,14 @@ def covering_contigs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {SQL_C}, o AS (SELECT rec_id, gap_id, pos, CAST(split_part(gap_id, '_', 1) AS INTEGER) = try_cast(substr(rname, 5) AS INTEGER) AS own FROM c WHERE pos IS NOT NULL AND gap_id IS NOT NULL),
-l AS (SELECT *, lag(gap_id) OVER (ORDER BY rec_id) AS bg, lag(pos) OVER (ORDER BY rec_id) AS bp FROM o), s AS (SELECT gap_id, bp + 295 AS first, pos AS last FROM l WHERE bg = gap_id AND own QUALIFY row_number() OVER (PARTITION BY gap_id ORDER BY rec_id DESC) = 1) SELECT * FROM s WHERE first <= last""")
+l AS (SELECT *, lag(gap_id) OVER (PARTITION BY gap_id ORDER BY rec_id) AS bg, lag(pos) OVER (PARTITION BY gap_id ORDER BY rec_id) AS bp FROM o), s AS (SELECT gap_id, bp + 295 AS first, pos AS last FROM l WHERE bg = gap_id AND own QUALIFY row_number() OVER (PARTITION BY gap_id ORDER BY rec_id DESC) = 1) SELECT * FROM s WHERE first <= last""")
 def filled_stretches(spark: SparkSession, d: str) -> DataFrame:
     """Two contigs of a gap that follow each other stand for its flanks"""
     from seqloom.operators.evaluate import filled_stretches as f
 
+    c = contigs(spark, d).where("gap_id IS NOT NULL")
     own = F.split("gap_id", "_")[0].try_cast("int") == F.substring("rname", 5, 20).try_cast("int")
-    return f(contigs(spark, d).withColumn("own", own), "rec_id", "gap_id", "pos", "own")
+    return f(c.withColumns({"own": own, "o": F.concat_ws("|", "gap_id", "name")}), "o", "gap_id", "pos", "own")
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY scf_ord) - 1 AS BIGINT) AS id, scf_name AS name FROM scaffolds")
@@ -480,3 +481,29 @@ def picked_against_truth(spark: SparkSession, d: str) -> DataFrame:
     c = contigs(spark, d).where("gap_id IS NOT NULL AND seq IS NOT NULL")
     truth = c.groupBy("gap_id").agg(F.max_by("seq", F.struct(F.length("seq"), "name")).alias("seq"))
     return against_truth(c.where("mapq >= 30").select("gap_id", "name", "seq"), truth)
+
+
+#: Contigs without repeated 31-mers, on either strand, as scaffolds with a gap of 40 bases in them; every third one's reads leave its middle open.
+PLANTED = """o AS (SELECT rec_id, seq FROM c WHERE length(seq) BETWEEN 260 AND 500 AND regexp_full_match(seq, '[ACGT]+')),
+w AS (SELECT rec_id, substr(seq, i, 31) AS k FROM o, unnest(range(1, length(seq) - 29)) u(i)), b AS (SELECT rec_id, k FROM w UNION ALL SELECT rec_id, translate(reverse(k), 'ACGT', 'TGCA') FROM w),
+g AS (SELECT rec_id FROM b GROUP BY rec_id HAVING count(*) = count(DISTINCT k)), p AS (SELECT rec_id, seq FROM o JOIN g USING (rec_id))"""
+
+
+@query(f"WITH {SQL_C}, {PLANTED} SELECT rec_id, CASE WHEN rec_id % 3 = 0 THEN 'extended' ELSE 'first' END AS step, CASE WHEN rec_id % 3 = 0 THEN substr(seq, 131, 15) || 'NN' || substr(seq, 156, 15) ELSE substr(seq, 131, 40) END AS fill, CASE WHEN rec_id % 3 = 0 THEN left(seq, 145) || 'NN' || substr(seq, 156) ELSE seq END AS filled FROM p")
+def filled_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Sections 2.14b and 2.15, F16, K17: planted gaps, filled or extended and spliced"""
+    from seqloom.operators.pick import splice_gaps
+
+    c = contigs(spark, d).where("length(seq) BETWEEN 260 AND 500").where(F.col("seq").rlike("^[ACGT]+$")).select("rec_id", "seq")
+    k = c.select("rec_id", F.explode(S.kmers(F.col("seq"), 31)).alias("k"))
+    plain = k.unionByName(k.withColumn("k", S.reverse_complement(F.col("k")))).groupBy("rec_id", "k").agg(F.count(F.lit(1)).alias("n")).groupBy("rec_id").agg(F.max("n").alias("n")).where("n = 1")
+    c = cut(c.join(plain.select("rec_id"), "rec_id").withColumn("gap_id", F.col("rec_id").cast("string")))
+    s, end = F.col("seq"), F.length("seq")
+    scaffolds = c.select(F.col("gap_id").alias("name"), F.concat(F.left(s, F.lit(130)), F.repeat(F.lit("N"), F.lit(40)), F.substring(s, F.lit(171), end)).alias("seq"))
+    planted = c.select("gap_id", F.col("gap_id").alias("scaffold"), F.lit(130).alias("gap_start"), F.lit(170).alias("gap_end"))
+    parts = F.when(F.col("rec_id") % 3 == 0, F.array(F.left(s, F.lit(145)), F.substring(s, F.lit(156), end))).otherwise(F.array(s))
+    reads = c.select("gap_id", F.explode(F.concat(parts, parts)).alias("seq"))
+    none = reads.where("false")
+    fills = cut(P.fill_run(scaffolds, planted, reads, none.select(F.lit("").alias("qname"), F.lit(1).alias("mate"), "seq"), none.select("gap_id", F.lit("").alias("name"), "seq"), flank=100))
+    whole = splice_gaps(scaffolds, planted, fills.select("gap_id", "fill")).withColumnRenamed("seq", "filled")
+    return fills.join(whole, fills["gap_id"] == whole["name"]).select(F.col("gap_id").cast("long").alias("rec_id"), "step", "fill", "filled")
