@@ -58,6 +58,25 @@ def p4_by_bam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_sketches(by_both.drop("rname").withColumn("part", F.abs(F.xxhash64("values")) % 4096), ["bam"], [0.5, 0.9, 0.95, 0.99], parts=4096)
 
 
+def _within(answers: DataFrame, data: DataFrame, key: str) -> DataFrame:
+    """Whether the true rank of every answer lies within its rank error, counted over all values."""
+    counts = data.groupBy(F.col(key).alias("__k"), F.col("tlen").alias("__v")).agg(F.count(F.lit(1)).alias("c"))
+    x = answers.join(counts, F.col(key).eqNullSafe(F.col("__k"))).groupBy(key, "q", "value", "n", "rank_error")
+    x = x.agg(F.coalesce(F.sum(F.when(F.col("__v") < F.col("value"), F.col("c"))), F.lit(0)).alias("below"), F.coalesce(F.sum(F.when(F.col("__v") <= F.col("value"), F.col("c"))), F.lit(0)).alias("upto"))
+    rank, slack = F.greatest(F.lit(1), F.ceil(F.col("q") * F.col("n"))), F.col("rank_error") * F.col("n")
+    return x.select(key, "q", "n", ((F.col("below") + 1 - rank <= slack) & (rank - F.col("upto") <= slack) & (F.col("rank_error") < 0.01)).alias("within"))
+
+
+def p4_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the percentiles of every rname keep their bound, which is under one percent."""
+    return _within(p4_quantiles(spark, sf_dir), _tlen(spark, sf_dir), "rname")
+
+
+def p4_bam_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for those of the bam files, whose sketches were merged twice."""
+    return _within(p4_by_bam(spark, sf_dir), _tlen(spark, sf_dir, "bam"), "bam")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rnames of at least 40 records with a median of at least 400 or a 95th percentile of at least 1000."""
     q = query_sketches(build_sketches(_tlen(spark, sf_dir), ["rname"], "tlen"), ["rname"], [0.5, 0.95])
@@ -139,6 +158,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_quantiles": p4_quantiles,
     "p4_by_bam": p4_by_bam,
+    "p4_ranks": p4_ranks,
+    "p4_bam_ranks": p4_bam_ranks,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
     "p6_ids": p6_ids,
@@ -155,6 +176,11 @@ w AS (SELECT aln_id, substr(seq, i, 10) AS kmer FROM s, unnest(range(1, length(s
 c AS (SELECT kmer, count(*) AS occurrences, count(DISTINCT aln_id) AS records FROM w WHERE regexp_full_match(kmer, '[ACGT]{{10}}') GROUP BY kmer),
 m AS (SELECT c.*, CASE WHEN records = 1 THEN 'rare' WHEN records * 400 >= n THEN 'common' END AS mark FROM c, n)"""
 
+#: Every percentile of every key, each within its bound.
+_RANKS = f"""
+WITH {RECORDS}, t AS (SELECT rname, bam FROM a WHERE (flag & 4) = 0 AND rname IS NOT NULL AND tlen NOT IN (0, 2147483647, -2147483648)), k AS (SELECT {{key}}, count(*) AS n FROM t GROUP BY {{key}})
+SELECT {{key}}, q, n, TRUE AS "within" FROM k, (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.9 AS DOUBLE)), (CAST(0.95 AS DOUBLE)), (CAST(0.99 AS DOUBLE))) v(q)"""
+
 _SPANS = """
 WITH r AS (SELECT rec_id, CASE WHEN seq <> '*' THEN upper(seq) END AS seq FROM contig_alns QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY loaded_at DESC) = 1),
 w AS (SELECT rec_id, i - 1 AS pos, substr(seq, i, 48) AS k FROM r, unnest(range(1, length(seq) - 46)) u(i)),
@@ -172,6 +198,8 @@ SELECT rec_id, coalesce(length(seq), 0) AS bases, CAST(coalesce(shared, 0) AS BI
 WITH {RECORDS}, t AS (SELECT rname, abs(CAST(tlen AS BIGINT)) AS v FROM a WHERE (flag & 4) = 0 AND rname IS NOT NULL AND tlen NOT IN (0, 2147483647, -2147483648)),
 q AS (SELECT rname, count(*) AS n, quantile_disc(v, 0.5) AS m, quantile_disc(v, 0.95) AS u FROM t GROUP BY rname HAVING count(*) >= 40)
 SELECT rname, 50 AS pct FROM q WHERE m >= 400 UNION ALL SELECT rname, 95 FROM q WHERE u >= 1000""",
+    "p4_ranks": _RANKS.format(key="rname"),
+    "p4_bam_ranks": _RANKS.format(key="bam"),
     "p5_found": _TERMS + " SELECT kmer, mark FROM m WHERE mark IS NOT NULL",
     "p5_counts": _TERMS + " SELECT kmer, occurrences, records, mark FROM m",
 }
