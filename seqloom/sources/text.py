@@ -54,8 +54,8 @@ def fai_of(seqs: DataFrame) -> DataFrame:
 def fastq(spark: SparkSession, path: str) -> DataFrame:
     """Rows (ord, read_id, seq, qual) of FASTQ files of four lines a read.
 
-    Records are cut before each header that is followed by a sequence and a plus line, so a quality line beginning with @ doesn't
-    mislead. The id is the header's first word up to a slash, without the @.
+    Lines are numbered within their file, and every four are a record, so a quality line beginning with @ doesn't mislead. The id is
+    the header's first word up to a slash, without the @.
     """
     raw = spark.read.text(path, wholetext=False).select(F.monotonically_increasing_id().alias("at"), F.col("value"), F.input_file_name().alias("file"))
     from pyspark.sql.window import Window

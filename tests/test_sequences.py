@@ -21,16 +21,16 @@ def test_whole_kmers_are_changed_at_every_place(spark, tmp_path):
     kmers = ["ACGTACGTACGTACG", "ACGTACGTNCGTACT", "ACGTACGTNCGTACT", None]
     spark.createDataFrame([(k, 1, 0) for k in kmers], "kmer string, node_index long, pos int").write.parquet(str(tmp_path / "kmer_nodes.parquet"))
     changed = lambda k: {(k, k[:i] + b, k[:i] + b + k[i + 1 :]) for i in range(15) for b in "ACGT" if b != k[i]}
-    got = [tuple(r) for r in Q.whole_neighbour_kmers(spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in Q.neighbour_kmers(spark, str(tmp_path)).collect()]
     assert len(got) == 91 and set(got) == changed(kmers[0]) | changed(kmers[1])
-    got = sorted(tuple(r) for r in Q.whole_shifted_kmers(spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in Q.shifted_kmers(spark, str(tmp_path)).collect())
     assert got == sorted((k, x) for k in kmers[:2] for b in "ACGT" for x in (k[1:] + b, b + k[:-1]))
 
 
 def test_consensus_of_whole_contigs(spark, tmp_path):
     """Bases behind the 30th, and contigs under 30 bases, count."""
     d = folder(spark, tmp_path, [(1, "g", "s", 1, 60, "A" * 40 + "CCC"), (2, "g", "s", 1, 20, "C" * 45), (3, "h", "s", 1, 50, "CG"), (4, "h", "t", 1, 0, "acg"), (5, "h", "t", 1, 9, "*"), (6, "h", None, 1, 9, "TTT")])
-    assert {r.rname: r.consensus for r in Q.whole_consensus(spark, d).collect()} == {"s": "C" + "A" * 39 + "C" * 5, "t": "ACG"}
+    assert {r.rname: r.consensus for r in Q.consensus_of_contigs(spark, d).collect()} == {"s": "C" + "A" * 39 + "C" * 5, "t": "ACG"}
 
 
 def test_scaffold_pairs_have_their_real_distances(spark, tmp_path):
