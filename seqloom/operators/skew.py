@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqloom.records import cut, few
+from seqloom.records import cut, few, merge
 
 #: Bits of the value resolved in one round, so a key's histogram has at most 2 ** BITS bins per open rank.
 BITS = 8
@@ -37,14 +37,14 @@ def _counted(data: DataFrame, names: list[str]) -> DataFrame:
 
 def _beside(counts: DataFrame, bins: DataFrame, names: list[str], more) -> DataFrame:
     """``counts`` (c) joined with the few rows a key has in ``bins`` (o). Where those are too many to be broadcast, they are repeated
-    for as many salts as there are partitions, so a key with many different values is spread over all of them."""
+    for up to 16 salts, so a key with many different values is spread, and merged: Spark doesn't see that there are so many of them."""
     small = few(bins)
     cond = _same(names, "c", "o") & more
     if small is not bins:
         return counts.alias("c").join(small.alias("o"), cond)
-    salts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = min(16, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = bins.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return counts.withColumn("__salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).alias("c").join(salted.alias("o"), cond & (F.col("c.__salt") == F.col("o.__salt")))
+    return counts.withColumn("__salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).alias("c").join(merge(salted.alias("o")), cond & (F.col("c.__salt") == F.col("o.__salt")))
 
 
 def _select(counts: DataFrame, names: list[str], probabilities: Sequence[float], bits: int = BITS) -> DataFrame:

@@ -148,6 +148,14 @@ def few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def merge(df: DataFrame) -> DataFrame:
+    """``df`` marked for a join that sorts and merges, which is never sent whole to every executor by way of the driver.
+
+    For tables whose rows were exploded: Spark takes their size from the file they come from, and so would broadcast many times its threshold.
+    """
+    return df.hint("merge")
+
+
 def beside(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", by: str = "uid") -> DataFrame:
     """A join with ``right``, which has one row per key, where a key may hold a third of ``left``.
 

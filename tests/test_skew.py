@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import skew
 from seqloom.operators.skew import _counted, _keys_values, exact_mode, exact_quantiles
+from seqloom.records import cut
 
 
 def rows(seed, n=600):
@@ -66,3 +67,17 @@ def test_many_keys_are_salted(spark, monkeypatch):
         if v is not None:
             by[k].append(v)
     assert {(r["k"], r["value"]) for r in exact_quantiles(df, ["k"], "v", [0.5]).collect()} == {(k, sorted(vs)[max(1, math.ceil(0.5 * len(vs))) - 1]) for k, vs in by.items()}
+
+
+def test_many_bins_are_not_broadcast(spark, monkeypatch):
+    """Bins of many keys, repeated for the salts, don't pass through the driver, however small the file they come from."""
+    monkeypatch.setattr(skew, "few", lambda df: df)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        counts = cut(spark.range(300).selectExpr("id % 30 AS __k0", "id AS v", "1L AS c"))
+        bins = cut(spark.range(30).selectExpr("id AS __k0", "id + 30 AS bin"))
+        out = skew._beside(counts, bins, ["__k0"], F.col("c.v") == F.col("o.bin"))
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
