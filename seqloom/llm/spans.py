@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.terms import _codes, windows
 from seqloom.operators.graph import weak_components
 from seqloom.operators.intervals import merged_runs
-from seqloom.records import beside, cut, ship
+from seqloom.records import beside, cut, merge, ship
 
 #: Bases of an anchor; windows of one paragraph at most (the bits of a mask).
 ANCHOR, RUN = 20, 32
@@ -232,12 +232,12 @@ def _masks(every: DataFrame, members: DataFrame, links: DataFrame, least: int, c
     if not complete:
         return known
     # open: windows of one record's paragraph, where a paragraph other than the representative, or another place of the anchor, may have them
-    rest = members.where("k > 2 OR any_again").join(known, ID, "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    rest = members.where("k > 2 OR any_again").join(merge(known), ID, "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
     rest = cut(rest.withColumn("open", F.col("mask") != _full()).select("h", *ID, "n", "bases", "lo", "hi", "open"))
     asked = rest.where("open").select("h").distinct()
-    wins = cut(_windows(rest.join(asked, "h", "left_semi"), least))
+    wins = cut(_windows(rest.join(merge(asked), "h", "left_semi"), least))
     shared = wins.groupBy("w").agg(F.min("lo").alias("l"), F.max("hi").alias("u")).where("l <> u").select("w")
-    more = wins.where("lo = hi").join(shared, "w", "left_semi").groupBy(*ID).agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    more = wins.where("lo = hi").join(merge(shared), "w", "left_semi").groupBy(*ID).agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
     return cut(known.unionByName(more).groupBy(*ID).agg(F.bit_or("mask").alias("mask")))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.align import merged, overlap, revcomp, significance
-from seqloom.records import cut, ship
+from seqloom.records import cut, merge, ship
 
 Edges = dict[str, dict[str, float]]
 
@@ -260,9 +260,9 @@ def weak_components(edges: DataFrame, source: str, target: str) -> DataFrame:
     both = cut(both.union(both.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("new"), "label")
-        jump = lower.alias("x").join(labels.alias("y"), F.col("x.new") == F.col("y.node"), "left").select(F.col("x.node").alias("node"), F.least("x.new", F.coalesce("y.label", "x.new")).alias("new"), F.col("x.label").alias("old"))
+        near = both.join(merge(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = labels.join(merge(near), "node").select("node", F.least("label", "near").alias("new"), "label")
+        jump = lower.alias("x").join(merge(labels.alias("y")), F.col("x.new") == F.col("y.node"), "left").select(F.col("x.node").alias("node"), F.least("x.new", F.coalesce("y.label", "x.new")).alias("new"), F.col("x.label").alias("old"))
         done = cut(jump)
         labels = done.select("node", F.col("new").alias("label"))
         if done.where("new <> old").isEmpty():

@@ -160,7 +160,7 @@ def beside(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inn
     """A join with ``right``, which has one row per key, where a key may hold a third of ``left``.
 
     ``right`` is a written table or a filter on one. It is broadcast if it is small; if it is of middling size, every row of it is
-    repeated for up to 16 salts, to which ``left`` is dealt out by its column ``by``; a larger one is joined as it is, and partitions
+    repeated for up to 16 salts, to which ``left`` is dealt out by its column ``by``; a larger one is merged as it is, and partitions
     of hot keys are split by adaptive execution.
     """
     n = right.count()
@@ -168,9 +168,9 @@ def beside(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inn
         return left.join(F.broadcast(right), list(on), how)
     salts = min(16, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if n > 100 * FEW:
-        return left.join(right, list(on), how)
+        return left.join(merge(right), list(on), how)
     salted = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, [*on, "__salt"], how).drop("__salt")
+    return left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(merge(salted), [*on, "__salt"], how).drop("__salt")
 
 
 def empty_like(spark: SparkSession, schema: str | T.StructType) -> DataFrame:

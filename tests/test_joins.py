@@ -70,3 +70,14 @@ def test_pairs_and_links(spark):
     d = J.dispatch(reads.select("qname", "mate", "seq"), spark.createDataFrame([("q", 1, "g1"), ("q", 1, "g1"), ("q", 1, "g2")], "qname string, mate int, gap_id string"))
     assert d.count() == 2
     assert d.where(F.col("gap_id") == "g2").count() == 1
+
+
+def test_a_salted_side_is_not_broadcast(spark, monkeypatch):
+    """Rows repeated for salts are many more than the file they come from tells."""
+    from seqloom import records
+
+    monkeypatch.setattr(records, "FEW", 10)
+    for n in (50, 2000):
+        right = records.cut(spark.range(n).selectExpr("id AS k", "id AS v"))
+        out = records.beside(spark.range(300).selectExpr("id % 100 AS k", "id AS uid"), right, ["k"])
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 3 * min(n, 100)
