@@ -259,16 +259,35 @@ def verified_spans(df: DataFrame, key: str, sequence: str, least: int = 48) -> D
 
 
 def shared_classes(df: DataFrame, key: str, sequence: str, least: int = 48) -> DataFrame:
-    """Rows (key, class, links): the components of records by verified shared stretches, and each record's different partners.
+    """Rows (key, class, links): the components of records by shared stretches of at least ``least`` bases, and with how many other
+    records each shares one. A class is named by its smallest record. Records that share nothing have no row.
 
-    A class is named by its smallest record. A link joins a record to the smallest record that holds the same paragraph, or to that of its
-    bucket's representative; copies aren't expanded into pairs. Records without a link have no row.
+    Exact, as :func:`shared_spans` is. Windows that the same paragraphs hold, and then those that the same records hold, are one set (told
+    apart by 128 bits and the number of members), so a stretch that a third of all records hold is one set, and a record of one set has its
+    other members as partners. Pairs are made only for records of several sets, whose partners have to be told apart.
     """
     every, members, links = _buckets(df, key, sequence, least)
-    firsts = every.groupBy(*ID).agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"))
-    same = beside(every.select("rec", *ID), cut(firsts.where("lo <> hi")), ID, by="rec").select("rec", F.col("lo").alias("other"))
-    held = firsts.select(F.col("k1").alias("r_k1"), F.col("k2").alias("r_k2"), F.col("lo").alias("other"))
-    near = beside(every.select("rec", *ID), cut(links.join(held, ["r_k1", "r_k2"]).select(*ID, "other").distinct()), ID, by="rec").select("rec", "other")
-    edges = cut(same.unionByName(near).where("rec <> other").distinct())
-    both = edges.unionByName(edges.select(F.col("other").alias("rec"), F.col("rec").alias("other"))).distinct()
-    return weak_components(edges, "rec", "other").select(F.col("node").alias("rec"), F.col("component").alias("class")).join(both.groupBy("rec").agg(F.count(F.lit(1)).alias("links")), "rec").select(F.col("rec").alias(key), "class", "links")
+    masks = _masks(every, members, links, least).where("mask <> 0")
+    one = every.groupBy(*ID).agg(F.first("n").alias("n"), F.first("bases").alias("bases"))
+    held = one.join(merge(masks), ID).select(*ID, "n", "bases", F.col("mask").alias("lo"), F.col("mask").alias("hi"))
+    shared = _windows(held, least).where("(shiftright(lo, at) & 1) = 1").select("w", *ID).distinct()
+    paragraph_sets = _sets(shared, "w", ID)
+    records = beside(every.select("rec", *ID), cut(paragraph_sets), ID, by="rec").select("rec", "set").distinct()
+    sets = cut(_sets(records, "set", ["rec"]))
+    sizes = cut(sets.groupBy("set").agg(F.count(F.lit(1)).alias("members"), F.min("rec").alias("first")).where("members > 1"))
+    mine = cut(beside(sets, sizes, ["set"], by="rec"))
+    several = cut(mine.groupBy("rec").agg(F.count(F.lit(1)).alias("sets"), F.max("members").alias("members")))
+    pairs = mine.join(merge(several.where("sets > 1").select("rec")), "rec", "left_semi").select("rec", "set")
+    partners = pairs.join(merge(mine.select("set", F.col("rec").alias("other"))), "set").where("rec <> other").select("rec", "other").distinct()
+    counts = several.where("sets = 1").select("rec", (F.col("members") - 1).alias("links")).unionByName(partners.groupBy("rec").agg(F.count(F.lit(1)).alias("links")))
+    classes = weak_components(mine.select("rec", F.col("first").alias("other")), "rec", "other")
+    return classes.select(F.col("node").alias("rec"), F.col("component").alias("class")).join(merge(counts), "rec").select(F.col("rec").alias(key), "class", "links")
+
+
+def _sets(rows: DataFrame, of: str, by: list[str]) -> DataFrame:
+    """Rows (of, by...), all different, to rows (set, by...): those of ``of`` that have the same members are one set."""
+    marks = [F.xxhash64(F.lit(i), *by) for i in range(2)]
+    named = rows.groupBy(of).agg(F.struct(*[F.bit_xor(m).alias(f"m{i}") for i, m in enumerate(marks)], F.count(F.lit(1)).alias("n")).alias("__set"))
+    # one of a set's stands for it
+    first = named.groupBy("__set").agg(F.min(of).alias(of))
+    return rows.join(merge(first), of).select(F.col("__set").alias("set"), *by)

@@ -84,6 +84,45 @@ def test_recall_of_banding_and_classes(spark):
     assert all(family[r["class"]] == family[rec] and r["class"] <= rec for rec, r in classes.items())
 
 
+def brute_classes(seqs, least):
+    """Record to (smallest record of its component, number of partners)."""
+    where = defaultdict(set)
+    for i, s in seqs.items():
+        for p in range(len(s) - least + 1):
+            where[s[p : p + least]].add(i)
+    partners = defaultdict(set)
+    for held in where.values():
+        for i in held:
+            partners[i] |= held - {i}
+    out = {}
+    for i in sorted(x for x, p in partners.items() if p):
+        todo = [] if i in out else [i]
+        while todo:
+            if (x := todo.pop()) not in out:
+                out[x] = (i, len(partners[x]))
+                todo += partners[x]
+    return out
+
+
+def test_classes_have_all_links(spark):
+    """Variants that share nothing with their bucket's representative, copies, a stretch of many records, a chain."""
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    seqs = {}
+    for _ in range(12):
+        base = letters(500)
+        for _ in range(rng.randint(2, 8)):
+            s, a = list(base), rng.randint(0, 250)
+            for _ in range(rng.randint(0, 5)):
+                s[rng.randrange(500)] = rng.choice("ACGT")
+            seqs[len(seqs)] = "".join(s)[a : a + rng.randint(150, 250)]
+    hot, copy, chain = letters(60), letters(120), letters(400)
+    seqs |= {200 + i: letters(30) + hot + letters(20) for i in range(30)} | {300 + i: copy for i in range(5)} | {400 + i: chain[60 * i : 60 * i + 110] for i in range(5)}
+    seqs |= {500: letters(100), 501: hot + copy[:50]}
+    df = spark.createDataFrame(list(seqs.items()), "rec long, s string")
+    assert {r["rec"]: (r["class"], r["links"]) for r in shared_classes(df, "rec", "s").collect()} == brute_classes(seqs, 48)
+
+
 def test_a_stretch_that_a_third_of_all_records_hold(spark):
     rng = random.Random(4)
     hot = "".join(rng.choice("ACGT") for _ in range(60))
