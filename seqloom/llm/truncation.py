@@ -28,8 +28,9 @@ SHINGLE, SIMILAR = 5, 0.8
 BEFORE, PLACES = 8, 8
 #: Bands and rows of the signature of a beginning: beginnings of similarity 0.8 share a band with probability 0.97, of 0.9 with 0.999.
 BANDS, ROWS = 5, 3
-#: Bucket members that are compared with a text at first; all others follow for texts that these don't show to be cut.
-AT_FIRST = 4
+#: Bucket members that are compared with a text at first, and how many times as many in every further round; rounds go on, for texts
+#: that these don't show to be cut, until all members have been compared.
+AT_FIRST, TIMES = 4, 8
 
 #: A last word closes a line, or is whole, if at least this share of its known occurrences did, or were.
 SHARE = 0.1
@@ -660,8 +661,9 @@ def cut_by_copy(found: DataFrame, texts: DataFrame) -> DataFrame:
     A text asks under the bands of its longest nested beginning (5, 10, 20 and so on words, before its last), every text answers under
     those of all of its own, so a text and its whole original share a bucket however much was cut off. Within a bucket they meet by
     the words before a place near the end, and by order: strings that begin as the text's end are a stretch of the sorted
-    ones. So no pairs of a bucket are made but those that go on at that place; equal strings are one. All of these are
-    compared: ``AT_FIRST`` of each at first, the rest for the texts these don't show to be cut.
+    ones. So no pairs of a bucket are made but those that go on at that place. All of these are compared, those with equal strings
+    too, as one may be a near-copy where another isn't: ``AT_FIRST`` of each at first, more and more of the rest for the texts these
+    don't show to be cut.
     """
     rows = found.where("tag = 'text'").select("uid", F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "key"))
     rows = rows.select("uid", "key", F.floor(F.col("pos") / BANDS).cast("int").alias("level"), (F.col("pos") >= F.col("n") - BANDS).alias("ask"))
@@ -670,12 +672,12 @@ def cut_by_copy(found: DataFrame, texts: DataFrame) -> DataFrame:
     strings = cut(_strings(texts.select("uid", "body").join(members, "uid")))
     asking = cut(strings.where("ask").select("k", "s", "uid").distinct())
     ends = asking.select("k", "s").distinct()
-    answers = strings.where("NOT ask").join(ends.select("k").distinct(), "k", "left_semi").groupBy("k", "s").agg(F.min("uid").alias("b"))
+    answers = strings.where("NOT ask").join(ends.select("k").distinct(), "k", "left_semi").select("k", "s", F.col("uid").alias("b")).distinct()
     edge = lambda s, high: F.struct(s.alias("at"), F.lit(high).alias("high"))
     borders = ends.select("k", "s", F.inline(F.array(edge(F.col("s"), False), edge(F.concat("s", F.lit("\U0010ffff")), True))))
     line = answers.select("k", F.lit(None).cast("string").alias("s"), F.col("s").alias("at"), F.lit(False).alias("high"), F.lit(1).alias("w"), "b").unionByName(borders.withColumns({"w": F.lit(0), "b": F.lit(None).cast("long")}))
     # an answer comes before a border at the same string, so equal strings, which don't go on, lie outside
-    ranked = cut(scan(line, ["k"], ["at", F.col("w").desc(), "high", "s"], {"rank": F.col("w")}))
+    ranked = cut(scan(line, ["k"], ["at", F.col("w").desc(), "high", "s", "b"], {"rank": F.col("w")}))
     stretch = ranked.where("w = 0").groupBy("k", "s").agg(F.max(F.when(~F.col("high"), F.col("rank"))).alias("low"), F.max(F.when(F.col("high"), F.col("rank"))).alias("up")).where("up > low")
     asked = cut(beside(asking, cut(stretch), ["k", "s"]))
     ranks = ranked.where("w = 1").select("k", "rank", "b")
@@ -684,8 +686,15 @@ def cut_by_copy(found: DataFrame, texts: DataFrame) -> DataFrame:
         wanted = of.where(up > low).select(F.col("uid").alias("a"), "k", F.explode(F.sequence(low + 1, up)).alias("rank"))
         return _verified(wanted.join(ranks, ["k", "rank"]).where("a <> b").select("a", "b").distinct(), texts)
 
-    first = cut(compared(asked, F.col("low"), F.least("up", F.col("low") + AT_FIRST)))
-    return first.unionByName(compared(asked.join(first, "uid", "left_anti"), F.col("low") + AT_FIRST, F.col("up")))
+    size, out = AT_FIRST, None
+    while True:
+        shown = cut(compared(asked, F.col("low"), F.least("up", F.col("low") + size)))
+        out = shown if out is None else out.unionByName(shown)
+        asked = asked.where(F.col("up") > F.col("low") + size)
+        asked = cut(asked.join(shown, "uid", "left_anti").withColumn("low", F.col("low") + size))
+        if asked.isEmpty():
+            return out
+        size *= TIMES
 
 
 def cut_copies(texts: DataFrame) -> DataFrame:

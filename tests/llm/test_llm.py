@@ -416,6 +416,14 @@ def test_a_cut_copy_meets_its_own_original(spark):
     assert sorted(r.uid for r in got.collect()) == [60, 70, 80, 91]
 
 
+def test_equal_strings_are_all_compared(spark):
+    """What follows is the same in all of them, but only the last is a near-copy; the others differ in their middles."""
+    head, middle, end = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("h", 40), ("m", 20), ("e", 14)))
+    rows = [(i, f"{head} {' '.join(f'o{i}_{j}' for j in range(20))} {end} and so it goes on from here") for i in range(50)]
+    rows += [(90, f"{head} {middle} {end} and so it goes on from here"), (91, f"{head} {middle} {end} an")]
+    assert [r.uid for r in C.cut_copies(spark.createDataFrame(rows, "uid long, body string")).collect()] == [91]
+
+
 def test_recall_of_cut_copies(spark):
     """Copies cut anywhere, some retold in every fortieth word: nearly all that brute force finds are found, and nothing else."""
     rng = random.Random(23)
