@@ -40,9 +40,9 @@ def overlap_candidates(contigs: DataFrame, group: str, id: str, seq: str, k: int
 
 
 def shared_counts(contigs: DataFrame, group: str, id: str, seq: str, k: int = 15) -> DataFrame:
-    """How many different k-mers two contigs of a group share: (group, a, b, n), a < b."""
+    """How many different k-mers two contigs of a group share: (group, a, b, n), a < b. Merged, as in :func:`overlap_candidates`."""
     d = kmer_rows(contigs, [group, id], seq, k).select(group, id, "kmer").distinct()
-    return d.select(group, F.col(id).alias("a"), "kmer").join(d.select(group, F.col(id).alias("b"), "kmer"), [group, "kmer"]).where("a < b").groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return d.select(group, F.col(id).alias("a"), "kmer").join(merge(d.select(group, F.col(id).alias("b"), "kmer")), [group, "kmer"]).where("a < b").groupBy(group, "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def reads_with_frequent(reads: DataFrame, id: str, seq: str, frequent: DataFrame, k: int, least: int) -> DataFrame:
