@@ -116,3 +116,10 @@ def test_weak_components_and_reach(spark):
     assert {got[f"n{i}"] for i in range(13)} == {"n0"} and got["y"] == got["z"] == "x" and got["s"] == "s"
     start = spark.createDataFrame([("n9",), ("z",)], "node string")
     assert {r.node: r.depth for r in G.reach(e, start, "a", "b").collect()} == {"n9": 0, "n10": 1, "n11": 2, "n12": 3, "z": 0, "x": 1, "y": 2}
+
+
+def test_sequences_of_pairs_are_not_broadcast(spark, tmp_path):
+    spark.createDataFrame([("x", "ACGTTGCAACGGATCC"), ("y", "ACGGATCCTTTTTTTT")], "name string, seq string").write.parquet(str(tmp_path / "c"))
+    spark.createDataFrame([("x", "y")], "a string, b string").write.parquet(str(tmp_path / "p"))
+    out = L.verify_pairs(spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "c")), "name", "seq")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 1
