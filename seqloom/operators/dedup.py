@@ -9,6 +9,7 @@ from seqloom.functions import cigar as C
 from seqloom.functions import seq as S
 from seqloom.operators.align import local_column, spread
 from seqloom.operators.kmers import shared_counts
+from seqloom.records import merge
 
 
 def self_alignments(contigs: DataFrame, group: str, name: str, seq: str, k: int = 15, seeds: int = 5) -> DataFrame:
@@ -24,7 +25,7 @@ def self_alignments(contigs: DataFrame, group: str, name: str, seq: str, k: int
     bare = lambda c: F.expr(f"substring({c}, 1, length({c}) - 2)")
     pairs = pairs.where((F.substring(F.col("b"), -1, 1) == "+") & (bare("a") != bare("b")))
     s = both.select(group, F.col("__n"), "__s")
-    both = pairs.join(s.select(group, F.col("__n").alias("a"), F.col("__s").alias("q")), "a").join(s.select(F.col("__n").alias("b"), F.col("__s").alias("r")), "b")
+    both = pairs.join(merge(s.select(group, F.col("__n").alias("a"), F.col("__s").alias("q"))), "a").join(merge(s.select(F.col("__n").alias("b"), F.col("__s").alias("r"))), "b")
     hit = spread(both).withColumn("o", local_column(F.col("q"), F.col("r")))
     clip = lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("S"))).otherwise("")
     cigar = F.concat(clip(F.col("o.first_start") - 1), (F.col("o.first_end") - F.col("o.first_start") + 1).cast("string"), F.lit("M"), clip(F.length("q") - F.col("o.first_end")))

@@ -123,3 +123,18 @@ def test_sequences_of_pairs_are_not_broadcast(spark, tmp_path):
     spark.createDataFrame([("x", "y")], "a string, b string").write.parquet(str(tmp_path / "p"))
     out = L.verify_pairs(spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "c")), "name", "seq")
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 1
+
+
+def test_many_pairs_at_once_are_as_one_by_one():
+    rng = random.Random(1)
+    letters = lambda n, of="ACGT": "".join(rng.choice(of) for _ in range(n))
+    pairs = [("", ""), ("A", ""), ("A", "A"), ("N", "N"), ("ACGT" * 20, "ACGT" * 30)]
+    for _ in range(150):
+        base = letters(rng.randint(1, 200))
+        s = list(base)
+        for _ in range(rng.randint(0, 8)):
+            s[rng.randrange(len(s))] = rng.choice(["", "A", "N", "ac", "T"])
+        pairs.append(("".join(s)[rng.randint(0, 30) :], base[rng.randint(0, 40) :] + letters(rng.randint(0, 40), "ACGTacgtN")))
+    assert L.locals_of(pairs) == [L.local(a, b) for a, b in pairs]
+    twice = [(*L.local_twice(a, b), L.local_twice(a, b, rotate=False)[1].score) for a, b in pairs]
+    assert L._twice_of(pairs) == twice
