@@ -13,7 +13,7 @@ from seqloom.operators import kmers as K
 from seqloom.operators.align import comparisons_column, local_column, spread, verify_pairs
 from seqloom.plans import pipeline as P
 from seqloom.queries.common import SQL_C, SQL_D, SQL_G, contigs, dna, gaps
-from seqloom.records import cut, table
+from seqloom.records import cut, merge, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -444,7 +444,7 @@ def compared_contigs(spark: SparkSession, d: str) -> DataFrame:
     c = _with_parts(spark, d).where("seq IS NOT NULL")
     pairs = K.shared_counts(c, "gap_id", "name", "seq").select("a", "b")
     x, y = (c.select(F.col("name").alias(n), F.col("seq").alias(f"s_{n}")) for n in ("a", "b"))
-    return spread(pairs.join(x, "a").join(y, "b")).select("a", "b", comparisons_column(F.col("s_a"), F.col("s_b")).alias("o")).select("a", "b", "o.*")
+    return spread(pairs.join(merge(x), "a").join(merge(y), "b")).select("a", "b", comparisons_column(F.col("s_a"), F.col("s_b")).alias("o")).select("a", "b", "o.*")
 
 
 @query()
