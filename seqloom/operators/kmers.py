@@ -30,11 +30,11 @@ def kmer_counts(seqs: DataFrame, group: Sequence[str], seq: str, k: int, least:
 def overlap_candidates(contigs: DataFrame, group: str, id: str, seq: str, k: int = 10, end: int = 30) -> DataFrame:
     """Pairs of a group's contigs of which one has a k-mer of the other's first or last ``end`` bases: (group, a, b), a <= b, with itself.
 
-    An equi-join on (group, k-mer) of distinct k-mers; a group is one gap's contigs. It is merged: k-mers are hundreds of times the
-    size of the table they come from, which Spark goes by.
+    An equi-join on (group, k-mer); a group is one gap's contigs. The k-mers of ends are distinct, so those of whole contigs needn't be:
+    a repeated one only repeats a pair. It is merged: k-mers are hundreds of times the size of the table they come from, which Spark goes by.
     """
     upper = F.upper(F.col(seq))
-    every = kmer_rows(contigs, [group, id], seq, k).select(group, F.col(id).alias("i"), "kmer").distinct()
+    every = kmer_rows(contigs, [group, id], seq, k).select(group, F.col(id).alias("i"), "kmer")
     tips = contigs.select(group, F.col(id).alias("j"), F.explode(F.array_distinct(F.concat(S.kmers(F.substring(upper, 1, end), k), S.kmers(F.right(upper, F.lit(end)), k)))).alias("kmer"))
     return every.join(merge(tips), [group, "kmer"]).select(group, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 

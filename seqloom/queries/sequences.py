@@ -462,7 +462,7 @@ def simple_paths(spark: SparkSession, d: str) -> DataFrame:
         rows = [(pdf["gap_id"].iloc[0], p[0], p) for p in G.simple_paths(sorted(nodes), graph)]
         return pd.DataFrame(rows, columns=["gap_id", "root", "path"])
 
-    return edges.groupBy("gap_id").applyInPandas(run, "gap_id string, root string, path array<string>")
+    return spread(edges, "gap_id").groupBy("gap_id").applyInPandas(run, "gap_id string, root string, path array<string>")
 
 
 @query()

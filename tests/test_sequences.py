@@ -50,3 +50,14 @@ def test_contigs_of_any_length_are_compared(spark, tmp_path):
     d = folder(spark, tmp_path, [(1, "g", "s", 1, 60, x), (2, "g", "s", 1, 60, x[:450]), (4, "h", "s", 1, 60, before + seed), (5, "h", "s", 1, 60, seed + behind)])
     got = {(r.a, r.b): r.first_score for r in Q.compared_contigs(spark, d).collect()}
     assert got["c000000001", "c000000002"] == 450 and got["c000000004", "c000000005"] == 15
+
+
+def test_paths_of_gaps_are_walked_in_many_tasks(spark, tmp_path):
+    """Candidate pairs are few bytes, but are neither broadcast nor walked in one task; k-mers are moved once."""
+    d = folder(spark, tmp_path, [(3 * g + i, f"g{g}", "s", 1, 60, s) for g in range(20) for i, s in enumerate(["ACGTTGCAACGGATCCTAGA", "TGCAACGGATCCTAGATTTT", "TTGTTTTTTTTTTTTTTTTTTT"])])
+    out = Q.simple_paths(spark, d)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString().split("FlatMapGroups")[1].split("Exchange")[1]
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = lambda i: f"c{i:09}"
+    assert {(r.gap_id, r.root, *r.path) for r in out.collect()} == {(f"g{g}", name(3 * g + i), *p) for g in range(20) for i, p in ((0, (name(3 * g), name(3 * g + 1))), (1, (name(3 * g + 1),)))}
