@@ -432,7 +432,7 @@ def _neighbour_links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]
     """Contigs and the links of those that follow each other on their scaffold."""
     from seqloom.operators.ordered import scan
 
-    c = contigs(spark, d).where("seq IS NOT NULL AND rname IS NOT NULL AND pos >= 1")
+    c = cut(contigs(spark, d).where("seq IS NOT NULL AND rname IS NOT NULL AND pos >= 1").select("rname", "pos", "name", "seq"))
     x = scan(c.select("rname", "pos", "name", F.length("seq").alias("bases")), ["rname"], ["pos", "name"], lasts={"l": F.struct("name", "pos", "bases")}, before=True).where("l IS NOT NULL")
     links = x.select(F.col("l.name").alias("l_name"), F.col("name").alias("r_name"), F.lit("+").alias("l_ori"), F.lit("+").alias("r_ori"), F.lit(2).cast("long").alias("pairs"), (F.col("pos") - F.col("l.pos") - F.col("l.bases")).cast("double").alias("mean_distance"))
     return links, c.select("name", "seq")

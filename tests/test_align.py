@@ -138,3 +138,14 @@ def test_many_pairs_at_once_are_as_one_by_one():
     assert L.locals_of(pairs) == [L.local(a, b) for a, b in pairs]
     twice = [(*L.local_twice(a, b), L.local_twice(a, b, rotate=False)[1].score) for a, b in pairs]
     assert L._twice_of(pairs) == twice
+
+
+def test_locals_of_many_pairs_are_those_of_single_ones():
+    """Lengths, letters and costs of all kinds; alignments that are much longer than their score, and long gaps."""
+    rng = random.Random(9)
+    letters = lambda n, of="ACGT": "".join(rng.choice(of) for _ in range(n))
+    x = letters(120)
+    pairs = [("", "A"), ("N", "N"), (x, x[:50] + letters(30) + x[50:]), (x[:60] + letters(25) + x[60:], letters(9) + x), (x, "".join(b if i % 6 else rng.choice("ACGTN") for i, b in enumerate(x)))]
+    pairs += [(letters(rng.randint(1, 90), of), letters(rng.randint(1, 90), of)) for of in ("AC", "ACGT", "ACGTNacgt*") for _ in range(30)]
+    for costs in ({}, {"match": 2, "mismatch": -1, "other": 0, "gap_open": 0, "gap_extend": 1}, {"match": 1, "mismatch": -1, "other": -1, "gap_open": 1, "gap_extend": 0}):
+        assert L.locals_of(pairs, **costs) == [L.local(*p, **costs) for p in pairs]

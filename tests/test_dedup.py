@@ -68,3 +68,14 @@ def test_planted_gaps_are_filled(spark):
 
     done = {r.name: r.seq for r in splice_gaps(scaffolds.select("name", "seq"), gaps, fills.select("gap_id", F.col("fill"))).collect()}
     assert done == {"s": truth, "e": "", "n": None}
+
+
+def test_links_are_aligned_once(spark):
+    """What is asked of the alignments doesn't make them again; links with a distance have none."""
+    from seqloom.operators.scaffold import checked_links
+
+    links = spark.createDataFrame([("a", "b", "+", "+", 5, -8.0), ("b", "a", "+", "+", 5, 3.0)], "l_name string, r_name string, l_ori string, r_ori string, pairs long, mean_distance double")
+    seqs = spark.createDataFrame([("a", "TTTTACGTACGG"), ("b", "ACGTACGGCC")], "name string, seq string")
+    out = checked_links(links, seqs)
+    assert "Python" not in out.where("kept")._jdf.queryExecution().executedPlan().toString()
+    assert {(r.l_name, r.overlap, r.kept) for r in out.collect()} == {("a", 8, True), ("b", 0, True)}
