@@ -7,8 +7,9 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from seqloom.operators.align import merged, overlap, revcomp, significance
+from seqloom.operators.align import merged, overlap, revcomp, significance, spread
 from seqloom.records import cut, merge, ship
 
 Edges = dict[str, dict[str, float]]
@@ -193,10 +194,9 @@ def merge_contigs(contigs: DataFrame, group: str, name: str, seq: str, most_base
     for merged sequences. Null and empty sequences are left out; a null group is a group.
     """
     ship(contigs.sparkSession)
-    large = contigs.groupBy(group).agg(F.sum(F.length(seq)).alias("__bases")).where(F.col("__bases") > most_bases).select(F.col(group).alias("__g"))
-    is_large = F.col(group).eqNullSafe(F.col("__g"))
-    usable = contigs.where(F.length(seq) > 0).join(large, is_large, "left_anti")
-    as_is = contigs.where(F.length(seq) > 0).join(large, is_large, "left_semi").select(group, F.col(name).cast("string").alias("name"), F.array(F.col(name).cast("string")).alias("path"), F.col(seq).alias("seq"), F.lit("too many bases").alias("reason"))
+    usable = contigs.where(F.length(seq) > 0).select(F.col(group).alias("g"), F.col(name).cast("string").alias("n"), F.col(seq).alias("s"))
+    usable = spread(usable, "g").withColumn("bases", F.sum(F.length("s")).over(Window.partitionBy("g")))
+    as_is = usable.where(F.col("bases") > most_bases).select(F.col("g").alias(group), F.col("n").alias("name"), F.array("n").alias("path"), F.col("s").alias("seq"), F.lit("too many bases").alias("reason"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = pdf["g"].iloc[0]
@@ -210,8 +210,7 @@ def merge_contigs(contigs: DataFrame, group: str, name: str, seq: str, most_base
         return pd.DataFrame(rows, columns=["g", "name", "path", "seq"])
 
     kind = dict(contigs.dtypes)[group]
-    data = usable.select(F.col(group).alias("g"), F.col(name).cast("string").alias("n"), F.col(seq).alias("s"))
-    merged_ones = data.groupBy("g").applyInPandas(run, f"g {kind}, name string, path array<string>, seq string").withColumnRenamed("g", group)
+    merged_ones = usable.where(F.col("bases") <= most_bases).drop("bases").groupBy("g").applyInPandas(run, f"g {kind}, name string, path array<string>, seq string").withColumnRenamed("g", group)
     return merged_ones.withColumn("reason", F.lit(None).cast("string")).unionByName(as_is)
 
 
@@ -223,8 +222,13 @@ def unitigs(kmers: DataFrame, group: str, kmer: str, count: str, least: int = 1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g, have = pdf["g"].iloc[0], dict(sorted(zip(pdf["k"], pdf["c"], strict=True)))
-        after = lambda x: [x[1:] + b for b in "ACGT" if x[1:] + b in have]
-        before = lambda x: [b + x[:-1] for b in "ACGT" if b + x[:-1] in have]
+        heads: dict[str, list[str]] = {}
+        tails: dict[str, list[str]] = {}
+        for x in have:
+            heads.setdefault(x[:-1], []).append(x)
+            tails.setdefault(x[1:], []).append(x)
+        after = lambda x: heads.get(x[1:], [])
+        before = lambda x: tails.get(x[:-1], [])
         seen: set[str] = set()
         rows = []
 
@@ -237,8 +241,7 @@ def unitigs(kmers: DataFrame, group: str, kmer: str, count: str, least: int = 1)
             rows.append((g, path[0] + "".join(x[-1] for x in path[1:]), float(sum(have[x] for x in path) / len(path))))
 
         for x in have:
-            b = before(x)
-            if x not in seen and (len(b) != 1 or len(after(b[0])) != 1):
+            if x not in seen and (len(b := before(x)) != 1 or len(after(b[0])) != 1):
                 walk(x)
         for x in have:  # circles
             if x not in seen:
@@ -247,7 +250,7 @@ def unitigs(kmers: DataFrame, group: str, kmer: str, count: str, least: int = 1)
 
     kind = dict(kmers.dtypes)[group]
     data = kmers.where(F.col(count) >= least).select(F.col(group).alias("g"), F.col(kmer).alias("k"), F.col(count).cast("long").alias("c"))
-    return data.groupBy("g").applyInPandas(run, f"g {kind}, seq string, mean_count double").withColumnRenamed("g", group)
+    return spread(data, "g").groupBy("g").applyInPandas(run, f"g {kind}, seq string, mean_count double").withColumnRenamed("g", group)
 
 
 def weak_components(edges: DataFrame, source: str, target: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,7 +40,7 @@ def assemble(reads: DataFrame, ks: list[int], least: int = 2, shortest: int = 40
     out = None
     for k in ks:
         u = graph.unitigs(kmers.kmer_counts(both, ["gap_id"], "seq", k), "gap_id", "kmer", "n", least).where(F.length("seq") >= shortest)
-        named = u.withColumn("name", F.concat_ws("_", F.lit(k), F.lit("NODE"), F.row_number().over(Window.partitionBy("gap_id").orderBy(F.length("seq").desc(), "seq")).cast("string"))).select("gap_id", "name", "seq")
+        named = spread(u, "gap_id").withColumn("name", F.concat_ws("_", F.lit(k), F.lit("NODE"), F.row_number().over(Window.partitionBy("gap_id").orderBy(F.length("seq").desc(), "seq")).cast("string"))).select("gap_id", "name", "seq")
         out = named if out is None else out.unionByName(named)
     return out
 
@@ -47,10 +49,12 @@ def align_flanks(flanks: DataFrame, contigs: DataFrame, least: int = 30) -> Data
     """Local alignments of every gap's flanks to its own contigs, both strands: the input of :mod:`pick`."""
     sides = flanks.select("gap_id", F.inline(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("q")), F.struct(F.lit("right").alias("side"), F.col("right").alias("q")))))
     strands = sides.select("gap_id", "side", F.inline(F.array(F.struct(F.lit(0).alias("flag"), F.col("q")), F.struct(F.lit(16).alias("flag"), S.reverse_complement(F.col("q")).alias("q")))))
-    h = spread(strands.join(contigs, "gap_id")).withColumn("o", local_column(F.col("q"), F.col("seq"))).where(F.col("o.score") >= least)
+    h = spread(strands.join(contigs, "gap_id")).withColumn("o", local_column(F.col("q"), F.col("seq")))
+    # written, else they are aligned for each that asks for a part of them, and before they are dealt out
+    h = cut(h.select("gap_id", "name", "side", "flag", "o", F.length("q").alias("bases"))).where(F.col("o.score") >= least)
     clip = lambda n: F.when(n > 3, F.concat(n.cast("string"), F.lit("S"))).otherwise("")
     m = F.col("o.first_end") - F.col("o.first_start") + 1
-    cigar = F.concat(clip(F.col("o.first_start") - 1), m.cast("string"), F.lit("M"), clip(F.length("q") - F.col("o.first_end")))
+    cigar = F.concat(clip(F.col("o.first_start") - 1), m.cast("string"), F.lit("M"), clip(F.col("bases") - F.col("o.first_end")))
     return h.select("gap_id", F.col("name").alias("contig"), "side", "flag", F.col("o.second_start").alias("pos"), cigar.alias("cigar"), F.xxhash64("name", "side", "flag").alias("ord"))
 
 
@@ -105,7 +109,7 @@ def merged_ones(contigs: DataFrame) -> DataFrame:
     """The merged sequences of every gap's contigs, those that lie within another left out before."""
     named = contigs.withColumn("name", F.concat_ws(":", "gap_id", "name"))
     inside = dedup.contained_or_smaller(dedup.exact_containments(named, "gap_id", "name", "seq"), 0.85)
-    return graph.merge_contigs(dedup.without(named, "name", inside), "gap_id", "name", "seq").where("reason IS NULL").select("gap_id", "name", "seq")
+    return graph.merge_contigs(cut(dedup.without(named, "name", inside)), "gap_id", "name", "seq").where("reason IS NULL").select("gap_id", "name", "seq")
 
 
 def fill_run(scaffolds: DataFrame, gaps: DataFrame, reads: DataFrame, unmapped: DataFrame, high_quality: DataFrame, ks: tuple[int, ...] = (31,), flank: int = 300, least: int = 2, scores: tuple[int, int] = (30, 15)) -> DataFrame:
@@ -118,13 +122,11 @@ def fill_run(scaffolds: DataFrame, gaps: DataFrame, reads: DataFrame, unmapped:
     ``reads``: (gap_id, seq), dispatched; ``unmapped``: (qname, mate, seq); ``high_quality``: (gap_id, name, seq), reads clipped on several
     contigs; both may be empty. ``least``: least count of a k-mer. A gap without any contig has no row.
     """
-    pairs = flank_pairs(scaffolds, gaps, flank)
+    pairs = cut(flank_pairs(scaffolds, gaps, flank))
     done: list[DataFrame] = []
 
     def still(df: DataFrame) -> DataFrame:
-        for x in done:
-            df = df.join(x.select("gap_id"), "gap_id", "left_anti")
-        return df
+        return df.join(reduce(DataFrame.unionByName, [x.select("gap_id") for x in done]), "gap_id", "left_anti") if done else df
 
     def picked(contigs: DataFrame, score: int, step: str) -> None:
         p = pick.pick_bridging(align_flanks(still(pairs), contigs, score), contigs.withColumnRenamed("name", "contig"), 2 * INSET)
@@ -135,18 +137,15 @@ def fill_run(scaffolds: DataFrame, gaps: DataFrame, reads: DataFrame, unmapped:
     more = rescued_reads(unmapped, still(first), min(ks))
     second = cut(assemble(still(reads.select("gap_id", "seq").unionByName(more)), list(ks), least))
     picked(second, scores[0], "assembly")
-    second = still(second)
+    second = cut(still(second))
     picked(cut(merged_ones(second)), scores[0], "merging")
     third = cut(still(second).unionByName(still(high_quality.select("gap_id", "name", "seq"))))
     third = cut(third.unionByName(merged_ones(third)))
     picked(third, scores[1], "quality")
-    open_ones = still(third)
+    open_ones = cut(still(third))
     ends = pick.pick_extended(align_flanks(still(pairs), open_ones, scores[1]), open_ones.withColumnRenamed("name", "contig"), inset=INSET)
     done.append(ends.where("fill <> 'NN'").select("gap_id", "fill", F.lit("extended").alias("step")))
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+    return reduce(DataFrame.unionByName, done)
 
 
 def collect_reads(alignments: DataFrame, raw: DataFrame, gaps: DataFrame, libraries: DataFrame, reach: int) -> DataFrame:

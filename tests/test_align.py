@@ -149,3 +149,25 @@ def test_locals_of_many_pairs_are_those_of_single_ones():
     pairs += [(letters(rng.randint(1, 90), of), letters(rng.randint(1, 90), of)) for of in ("AC", "ACGT", "ACGTNacgt*") for _ in range(30)]
     for costs in ({}, {"match": 2, "mismatch": -1, "other": 0, "gap_open": 0, "gap_extend": 1}, {"match": 1, "mismatch": -1, "other": -1, "gap_open": 1, "gap_extend": 0}):
         assert L.locals_of(pairs, **costs) == [L.local(*p, **costs) for p in pairs]
+
+
+def test_overlap_of_contained_sequences():
+    """One that stands in the other, at either end, in the middle or several times, as by the whole table."""
+    rng = random.Random(8)
+    for _ in range(60):
+        a = "".join(rng.choice("AC") for _ in range(rng.randint(1, 25)))
+        i = rng.randrange(len(a))
+        b = a[i : rng.randint(i + 1, len(a))]
+        for x, y in ((a, b), (b, a)):
+            o = L.overlap(x, y)
+            assert o.score == plain_overlap(x, y) == len(b)
+            assert x[o.row_start : o.row] == y[o.col_start : o.col] == b and o.clip == 0 and o.ends_first == (o.row == len(x))
+
+
+def test_gaps_are_merged_in_many_tasks(spark):
+    """A gap's contigs are few bytes; they are dealt out by gap, and summed up where they are."""
+    rows = [(f"g{g}", n, s) for g in range(20) for n, s in (("a", "ACGTTGCAACGGATCCTAGATTC"), ("b", "CGGATCCTAGATTCGGGGTTTACG"))]
+    out = G.merge_contigs(spark.createDataFrame(rows, "gap string, name string, seq string"), "gap", "name", "seq").where("reason IS NULL")
+    assert "Join" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and plan.count("Exchange") == 1
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.gap, max(r.seq, L.revcomp(r.seq))) for r in out.collect()} == {(f"g{g}", L.revcomp("ACGTTGCAACGGATCCTAGATTCGGGGTTTACG")) for g in range(20)}

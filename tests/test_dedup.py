@@ -79,3 +79,12 @@ def test_links_are_aligned_once(spark):
     out = checked_links(links, seqs)
     assert "Python" not in out.where("kept")._jdf.queryExecution().executedPlan().toString()
     assert {(r.l_name, r.overlap, r.kept) for r in out.collect()} == {("a", 8, True), ("b", 0, True)}
+
+
+def test_flanks_are_aligned_once(spark):
+    """Picking asks for either side's alignments, which are made once."""
+    flanks = spark.createDataFrame([("g", "ACGTTGCAACGGATCC", "TTTACGGGTCATTCAG")], "gap_id string, left string, right string")
+    contigs = spark.createDataFrame([("g", "c", "ACGTTGCAACGGATCCAAAAAATTTACGGGTCATTCAG")], "gap_id string, name string, seq string")
+    out = P.align_flanks(flanks, contigs, 12)
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.side, r.flag, r.pos, r.cigar) for r in out.collect()} == {("left", 0, 1, "16M"), ("right", 0, 23, "16M")}
