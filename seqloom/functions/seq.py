@@ -29,6 +29,24 @@ def kmers(seq: Column, k: int) -> Column:
     return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substring(seq, i, F.lit(k)))).when(seq.isNotNull(), F.array().cast("array<string>"))
 
 
+def unrepeated(seq: Column, k: int) -> Column:
+    """Whether no window of k letters stands twice in a sequence and its reverse complement, taken together; null for null."""
+    ship()
+    turned = str.maketrans(BASES + BASES.lower(), COMPLEMENTS * 2)
+
+    @F.pandas_udf("boolean")
+    def run(x: pd.Series) -> pd.Series:
+        def one(s: str | None) -> bool | None:
+            if s is None:
+                return None
+            n = max(len(s) - k + 1, 0)
+            return len({t[i : i + k] for t in (s, s[::-1].translate(turned)) for i in range(n)}) == 2 * n
+
+        return pd.Series([one(s) for s in x], dtype=object)
+
+    return run(seq)
+
+
 def pack_kmer(kmer: Column) -> Column:
     """Two bits a letter in one number, the first letter highest; letters other than A, C, G, T count as A. At most 31 letters."""
     digit = lambda c: F.instr(F.lit("ACGT"), c)

@@ -35,18 +35,33 @@ def self_alignments(contigs: DataFrame, group: str, name: str, seq: str, k: int
 def exact_containments(contigs: DataFrame, group: str, name: str, seq: str, k: int = 15) -> DataFrame:
     """Contigs that stand letter for letter in another of their group: alignments like those of :func:`self_alignments`, ``{len}M``.
 
-    The first k-mer of the contained one is the seed.
+    The first k-mer of the contained one is the seed. Joins are merged: k-mers are far larger than the table they come from.
     """
     from seqloom.operators.kmers import kmer_rows
 
     s = contigs.select(group, F.col(name).alias("n"), F.upper(F.col(seq)).alias("s")).where(F.length("s") >= k)
     head = s.select(group, F.col("n").alias("qname"), F.col("s").alias("q"), F.substring("s", 1, k).alias("kmer"))
     places = kmer_rows(s, [group, "n"], "s", k).select(group, F.col("n").alias("rname"), "kmer").distinct()
-    hit = head.join(places, [group, "kmer"]).where("qname <> rname").join(s.select(group, F.col("n").alias("rname"), F.col("s").alias("r")), [group, "rname"])
+    hit = head.join(merge(places), [group, "kmer"]).where("qname <> rname").join(merge(s.select(group, F.col("n").alias("rname"), F.col("s").alias("r"))), [group, "rname"])
     at = F.instr(F.col("r"), F.col("q"))
     return hit.withColumn("pos", at).where("pos > 0").select(group, "qname", "rname", F.length("q").alias("qlen"), F.length("r").alias("rlen"), F.lit(False).alias("reverse"), "pos", F.concat(F.length("q").cast("string"), F.lit("M")).alias("cigar"))
 
 
+def within(contigs: list[tuple[str, str]], k: int = 15) -> set[str]:
+    """Names of a group's contigs (name, sequence) that :func:`contained_or_smaller` finds on :func:`exact_containments`, in memory."""
+    known = [(n, s) for n, x in contigs if len(s := x.upper()) >= k]
+    heads: dict[str, list[tuple[str, str]]] = {}
+    for n, s in known:
+        heads.setdefault(s[:k], []).append((n, s))
+    out: set[str] = set()
+    for r, t in known:
+        for i in range(len(t) - k + 1):
+            for n, s in heads.get(t[i : i + k], ()):
+                if n != r and (len(s), n) < (len(t), r) and t.startswith(s, i):
+                    out.add(n)
+    return out
+
+
 def _fully(cutoff: float):
     return C.is_fully_mapped(F.col("cigar"), cutoff, F.col("qlen"))
 

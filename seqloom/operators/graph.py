@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqloom.operators.align import merged, overlap, revcomp, significance, spread
+from seqloom.operators.align import Overlap, merged, overlap, revcomp, significance, spread
 from seqloom.records import cut, merge, ship
 
 Edges = dict[str, dict[str, float]]
@@ -152,21 +154,25 @@ def overlap_graph(seqs: dict[str, str], seed: int = 10, end: int = 30, **options
     contained in another makes no edge.
     """
     both = {n: s for name, seq in sorted(seqs.items()) for n, s in ((name, seq), (name + "_R", revcomp(seq)))}
-    seeds: dict[str, set[str]] = {}
+    ends = {n: {p[i : i + seed] for p in (s[:end], s[-end:]) for i in range(len(p) - seed + 1)} for n, s in both.items()}
+    # only seeds that ends have are asked for
+    seeds: dict[str, set[str]] = {e: set() for some in ends.values() for e in some}
     for n, s in both.items():
-        for i in range(len(s) - seed + 1):
-            seeds.setdefault(s[i : i + seed], set()).add(n)
+        for e in seeds.keys() & {s[i : i + seed] for i in range(len(s) - seed + 1)}:
+            seeds[e].add(n)
     edges: Edges = {}
     done: set[tuple[str, str]] = set()
-    for n, s in both.items():
-        ends = {p[i : i + seed] for p in (s[:end], s[-end:]) for i in range(len(p) - seed + 1)}
-        for other in sorted({o for e in ends for o in seeds.get(e, ())}):
+    # contigs often come with their reverse complements, so the same two sequences meet under several names
+    known: dict[tuple[str, str], Overlap] = {}
+    for n in both:
+        for other in sorted({o for e in ends[n] for o in seeds[e]}):
             pair = (min(n, other), max(n, other))
             if flip(n) == other or n == other or pair in done:
                 continue
             done.add(pair)
             a, b = pair
-            o = overlap(both[a], both[b], **options)
+            two = (both[a], both[b])
+            o = known[two] if two in known else known.setdefault(two, overlap(*two, **options))
             if significance(o, len(both[a]), len(both[b])):
                 # an overlap that takes up all of one sequence is a containment
                 if o.ends_first and o.row_start > 0:
@@ -186,6 +192,49 @@ def merge_path(path: list[str], seqs: dict[str, str], **options) -> str:
     return out
 
 
+def merged_paths(seqs: dict[str, str], **options) -> list[tuple[str, list[str], str]]:
+    """The merged sequences of the paths of sequences' overlap graph: (name, path, sequence)."""
+    nodes, edges = overlap_graph(seqs, **options)
+    used = sorted(set(edges) | {t for ts in edges.values() for t in ts})
+    found = drop_parts(drop_mirrored([(w, p) for w, p in paths(used, edges) if len(p) > 1]))
+    return [(f"merged_{i}", p, merge_path(p, seqs, **options)) for i, (_, p) in enumerate(found, 1)]
+
+
+def of_groups(df: DataFrame, run: Callable[[object, list[tuple]], Iterable[tuple]], names: list[str]) -> DataFrame:
+    """What ``run(group, rows)`` makes of every group of ``df``: rows (group, names...), all strings but the group, its first column.
+
+    ``df`` is dealt out by its group. A batch holds many small groups, each of which would otherwise be a table of its own; a task
+    holds one group and one batch. A null group is a group.
+    """
+    group, kind = df.dtypes[0]
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out, kinds = None, [], [], None
+
+        def written() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [group, *names])
+
+        for part in parts:
+            kinds = [part.schema.field(0).type, *[pa.string()] * len(names)]
+            for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                if rows and row[0] != key:
+                    out += [(key, *r) for r in run(key, rows)]
+                    rows = []
+                    if len(out) >= 1000:
+                        yield written()
+                        out = []
+                key = row[0]
+                rows.append(row[1:])
+        if rows:
+            out += [(key, *r) for r in run(key, rows)]
+        if out:
+            yield written()
+
+    ship(df.sparkSession)
+    return df.sortWithinPartitions(group).mapInArrow(batches, ", ".join([f"`{group}` {kind}", *[f"{n} string" for n in names]]))
+
+
 def merge_contigs(contigs: DataFrame, group: str, name: str, seq: str, most_bases: int = 1_000_000, clip: int = 50) -> DataFrame:
     """Per group the merged sequences of its overlap graph's paths: rows (group, name, path, seq, reason).
 
@@ -203,10 +252,7 @@ def merge_contigs(contigs: DataFrame, group: str, name: str, seq: str, most_base
         seqs = {}
         for n, s in sorted(zip(pdf["n"], pdf["s"], strict=True)):
             seqs.setdefault(n, s.upper())
-        nodes, edges = overlap_graph(seqs, clip=clip)
-        used = sorted(set(edges) | {t for ts in edges.values() for t in ts})
-        found = drop_parts(drop_mirrored([(w, p) for w, p in paths(used, edges) if len(p) > 1]))
-        rows = [(g, f"merged_{i}", p, merge_path(p, seqs, clip=clip)) for i, (_, p) in enumerate(found, 1)]
+        rows = [(g, *r) for r in merged_paths(seqs, clip=clip)]
         return pd.DataFrame(rows, columns=["g", "name", "path", "seq"])
 
     kind = dict(contigs.dtypes)[group]
@@ -214,6 +260,38 @@ def merge_contigs(contigs: DataFrame, group: str, name: str, seq: str, most_base
     return merged_ones.withColumn("reason", F.lit(None).cast("string")).unionByName(as_is)
 
 
+def unbranched(have: dict[str, int]) -> list[tuple[str, float]]:
+    """The unbranched paths of the de Bruijn graph of counted k-mers: (sequence, mean count)."""
+    # the k-mer that begins, or ends, with the rest of one; empty where several do
+    heads: dict[str, str] = {}
+    tails: dict[str, str] = {}
+    for x in have:
+        p, q = x[:-1], x[1:]
+        heads[p] = "" if p in heads else x
+        tails[q] = "" if q in tails else x
+    # from a k-mer to the only one behind it, of which it is the only one before
+    after = {x: n for q, x in tails.items() if x and (n := heads.get(q))}
+    inner = set(after.values())
+    seen: set[str] = set()
+    rows = []
+
+    def walk(start: str) -> None:
+        path, x = [start], start
+        seen.add(start)
+        while (x := after.get(x, "")) and x not in seen:
+            path.append(x)
+            seen.add(x)
+        rows.append((path[0] + "".join([x[-1] for x in path[1:]]), float(sum([have[x] for x in path]) / len(path))))
+
+    for x in sorted(have.keys() - inner):
+        walk(x)
+    if len(seen) < len(have):
+        for x in sorted(have.keys() - seen):  # circles
+            if x not in seen:
+                walk(x)
+    return rows
+
+
 def unitigs(kmers: DataFrame, group: str, kmer: str, count: str, least: int = 1) -> DataFrame:
     """Per group the unbranched paths of its de Bruijn graph: rows (group, seq, mean_count). Our own assembler, a stand-in for external ones.
 
@@ -221,31 +299,8 @@ def unitigs(kmers: DataFrame, group: str, kmer: str, count: str, least: int = 1)
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, have = pdf["g"].iloc[0], dict(sorted(zip(pdf["k"], pdf["c"], strict=True)))
-        heads: dict[str, list[str]] = {}
-        tails: dict[str, list[str]] = {}
-        for x in have:
-            heads.setdefault(x[:-1], []).append(x)
-            tails.setdefault(x[1:], []).append(x)
-        after = lambda x: heads.get(x[1:], [])
-        before = lambda x: tails.get(x[:-1], [])
-        seen: set[str] = set()
-        rows = []
-
-        def walk(start: str) -> None:
-            path = [start]
-            seen.add(start)
-            while len(n := after(path[-1])) == 1 and n[0] not in seen and len(before(n[0])) == 1:
-                path.append(n[0])
-                seen.add(n[0])
-            rows.append((g, path[0] + "".join(x[-1] for x in path[1:]), float(sum(have[x] for x in path) / len(path))))
-
-        for x in have:
-            if x not in seen and (len(b := before(x)) != 1 or len(after(b[0])) != 1):
-                walk(x)
-        for x in have:  # circles
-            if x not in seen:
-                walk(x)
+        g = pdf["g"].iloc[0]
+        rows = [(g, *r) for r in unbranched(dict(zip(pdf["k"], pdf["c"], strict=True)))]
         return pd.DataFrame(rows, columns=["g", "seq", "mean_count"])
 
     kind = dict(kmers.dtypes)[group]

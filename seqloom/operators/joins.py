@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import cigar as C
 from seqloom.functions import flags as B
+from seqloom.records import merge
 
 #: Width of a bin of a range join, in bases.
 BIN = 4096
@@ -133,7 +134,7 @@ def bridging_hits(hits: DataFrame) -> DataFrame:
     """
     rank = lambda c: F.when(c == "UNCLIP", 0).when(c == "LEFT", 1).otherwise(2)
     side = lambda s, p: hits.where(F.col("side") == s).select("gap_id", "contig", *[F.col(c).alias(f"{p}_{c}") for c in ("clip", "pos", "matched", "flag")])
-    both = side("left", "l").join(side("right", "r"), ["gap_id", "contig"])
+    both = side("left", "l").join(merge(side("right", "r")), ["gap_id", "contig"])
     both = both.where(((F.col("l_clip") != F.col("r_clip")) | (F.col("l_clip") == "UNCLIP")) & (F.col("l_flag").bitwiseAND(16) == F.col("r_flag").bitwiseAND(16)))
     order = F.struct((F.col("l_matched") + F.col("r_matched")).alias("sum"), (-(rank(F.col("l_clip")) * 3 + rank(F.col("r_clip")))).alias("first"), *[F.col(f"{p}_{c}") for p in "lr" for c in ("clip", "pos", "matched", "flag")])
     return both.groupBy("gap_id", "contig").agg(F.max(order).alias("m")).select("gap_id", "contig", "m.*").drop("first")

@@ -10,6 +10,7 @@ from seqloom.functions import cigar as C
 from seqloom.functions import seq as S
 from seqloom.operators.aggregates import best_hits
 from seqloom.operators.joins import bridging_hits
+from seqloom.records import merge
 
 
 def flank_hits(alns: DataFrame) -> DataFrame:
@@ -32,7 +33,7 @@ def pick_bridging(alns: DataFrame, contigs: DataFrame, least: int = -1) -> DataF
     w = Window.partitionBy("gap_id").orderBy(F.col("span").desc(), "contig")
     best = b.withColumn("__n", F.row_number().over(w)).where("__n = 1")
     fill = S.bridge_fill(F.col("seq"), F.col("l_pos").cast("int"), F.col("l_matched").cast("int"), F.col("r_pos").cast("int"), F.col("r_matched").cast("int"), F.col("reverse"))
-    return best.join(contigs, ["gap_id", "contig"]).select("gap_id", "contig", "reverse", "span", fill.alias("fill"))
+    return best.join(merge(contigs), ["gap_id", "contig"]).select("gap_id", "contig", "reverse", "span", fill.alias("fill"))
 
 
 def pick_extended(alns: DataFrame, contigs: DataFrame, parity: bool = False, inset: int = 0) -> DataFrame:
@@ -45,7 +46,7 @@ def pick_extended(alns: DataFrame, contigs: DataFrame, parity: bool = False, ins
     h = flank_hits(alns).withColumn("reverse", (F.col("flag") != 0) if parity else (F.col("flag").bitwiseAND(16) != 0))
     facing = F.when(F.col("side") == "left", F.when(F.col("reverse"), "LEFT").otherwise("RIGHT")).otherwise(F.when(F.col("reverse"), "RIGHT").otherwise("LEFT"))
     h = h.where((F.col("clip") == facing) | (F.col("clip") == "UNCLIP"))
-    best = best_hits(h, ["gap_id", "side"], "matched", "contig").join(contigs, ["gap_id", "contig"])
+    best = best_hits(h, ["gap_id", "side"], "matched", "contig").join(merge(contigs), ["gap_id", "contig"])
     end = F.col("pos") + F.col("matched") - 1
     behind = F.substring(F.col("seq"), (end + 1).cast("int"), F.length("seq"))
     before = F.substring(F.col("seq"), F.lit(1), (F.col("pos") - 1).cast("int"))
@@ -60,6 +61,6 @@ def pick_extended(alns: DataFrame, contigs: DataFrame, parity: bool = False, ins
 
 def splice_gaps(scaffolds: DataFrame, gaps: DataFrame, fills: DataFrame, parity: bool = False) -> DataFrame:
     """Scaffolds (name, seq) with the picked fills (gap_id, fill) put in; a gap without a fill stays."""
-    listed = gaps.join(fills, "gap_id", "left").groupBy(F.col("scaffold").alias("name")).agg(F.collect_list(F.struct("gap_start", "gap_end", "fill")).alias("fills"))
+    listed = gaps.join(merge(fills), "gap_id", "left").groupBy(F.col("scaffold").alias("name")).agg(F.collect_list(F.struct("gap_start", "gap_end", "fill")).alias("fills"))
     none = F.array().cast("array<struct<gap_start:int,gap_end:int,fill:string>>")
-    return scaffolds.join(listed, "name", "left").select("name", S.splice(F.col("seq"), F.coalesce("fills", none), parity).alias("seq"))
+    return scaffolds.join(merge(listed), "name", "left").select("name", S.splice(F.col("seq"), F.coalesce("fills", none), parity).alias("seq"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,14 +12,17 @@ from pyspark.sql.window import Window
 
 from seqloom.functions import seq as S
 from seqloom.operators import dedup, graph, joins, kmers, pick
-from seqloom.operators.align import local_column, spread
+from seqloom.operators.align import local_column, revcomp, spread
 from seqloom.operators.ordered import scan
-from seqloom.records import cut
+from seqloom.records import cut, merge
 
 
 #: Bases between a flank and its gap.
 INSET = 5
 
+#: Bases of a gap's reads or contigs that a task holds at once; the k-mers of gaps that have more are rows.
+AT_ONCE = 1 << 17
+
 
 def find_gaps(scaffolds: DataFrame, least: int = 100) -> DataFrame:
     """Gaps of (ord, name, seq): rows (gap_id, scaffold, gap_start, gap_end, gap_len), ids of scaffold and gap ordinals.
@@ -31,25 +36,54 @@ def find_gaps(scaffolds: DataFrame, least: int = 100) -> DataFrame:
 
 def flank_pairs(scaffolds: DataFrame, gaps: DataFrame, length: int = 300) -> DataFrame:
     """(gap_id, left, right): the bases beside every gap."""
-    return gaps.join(scaffolds.select(F.col("name").alias("scaffold"), "seq"), "scaffold").select("gap_id", F.inline(F.array(S.flanks(F.col("seq"), F.col("gap_start"), F.col("gap_end"), length))))
+    return gaps.join(merge(scaffolds.select(F.col("name").alias("scaffold"), "seq")), "scaffold").select("gap_id", F.inline(F.array(S.flanks(F.col("seq"), F.col("gap_start"), F.col("gap_end"), length))))
+
+
+def _by_size(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with a sequence, dealt out by their gap: those of gaps of at most ``most`` bases, and of larger ones."""
+    sized = spread(rows.where(F.length("seq") > 0), "gap_id").withColumn("bases", F.sum(F.length("seq")).over(Window.partitionBy("gap_id")))
+    return sized.where(F.col("bases") <= most).drop("bases"), sized.where(F.col("bases") > most).drop("bases")
 
 
-def assemble(reads: DataFrame, ks: list[int], least: int = 2, shortest: int = 40) -> DataFrame:
-    """Contigs of every gap over several k: (gap_id, name, seq), names beginning with the k they come from."""
-    both = reads.select("gap_id", "seq").union(reads.select("gap_id", S.reverse_complement(F.col("seq")).alias("seq")))
-    out = None
+def assemble(reads: DataFrame, ks: list[int], least: int = 2, shortest: int = 40, at_once: int = AT_ONCE) -> DataFrame:
+    """Contigs of every gap over several k: (gap_id, name, seq), names beginning with the k they come from.
+
+    The k-mers of a gap whose reads have at most ``at_once`` bases are counted where it is assembled, those of others as rows.
+    """
+    small, large = _by_size(reads.select("gap_id", "seq"), at_once)
+
+    def run(_: object, rows: list[tuple]) -> list[tuple[str, str]]:
+        texts: Counter[str] = Counter()
+        for (seq,), n in Counter(rows).items():
+            for s in (seq, revcomp(seq)):
+                texts[s.upper()] += n
+        pieces = [(p, n) for s, n in texts.items() for p in re.findall("[ACGT]+", s)]
+        out = []
+        for k in ks:
+            counts: dict[str, int] = {}
+            for p, n in pieces:
+                for i in range(len(p) - k + 1):
+                    x = p[i : i + k]
+                    counts[x] = counts.get(x, 0) + n
+            found = sorted((s for s, _ in graph.unbranched({x: n for x, n in counts.items() if n >= least}) if len(s) >= shortest), key=lambda s: (-len(s), s))
+            out += [(f"{k}_NODE_{i}", s) for i, s in enumerate(found, 1)]
+        return out
+
+    out = graph.of_groups(small, run, ["name", "seq"])
+    both = large.union(large.select("gap_id", S.reverse_complement(F.col("seq")).alias("seq")))
     for k in ks:
         u = graph.unitigs(kmers.kmer_counts(both, ["gap_id"], "seq", k), "gap_id", "kmer", "n", least).where(F.length("seq") >= shortest)
         named = spread(u, "gap_id").withColumn("name", F.concat_ws("_", F.lit(k), F.lit("NODE"), F.row_number().over(Window.partitionBy("gap_id").orderBy(F.length("seq").desc(), "seq")).cast("string"))).select("gap_id", "name", "seq")
-        out = named if out is None else out.unionByName(named)
+        out = out.unionByName(named)
     return out
 
 
 def align_flanks(flanks: DataFrame, contigs: DataFrame, least: int = 30) -> DataFrame:
     """Local alignments of every gap's flanks to its own contigs, both strands: the input of :mod:`pick`."""
-    sides = flanks.select("gap_id", F.inline(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("q")), F.struct(F.lit("right").alias("side"), F.col("right").alias("q")))))
-    strands = sides.select("gap_id", "side", F.inline(F.array(F.struct(F.lit(0).alias("flag"), F.col("q")), F.struct(F.lit(16).alias("flag"), S.reverse_complement(F.col("q")).alias("q")))))
-    h = spread(strands.join(contigs, "gap_id")).withColumn("o", local_column(F.col("q"), F.col("seq")))
+    # contigs are moved with both flanks, and only then stand beside each strand of each
+    sides = spread(flanks.select("gap_id", "left", "right").join(merge(contigs.select("gap_id", "name", "seq")), "gap_id")).select("gap_id", "name", "seq", F.inline(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("q")), F.struct(F.lit("right").alias("side"), F.col("right").alias("q")))))
+    strands = sides.select("gap_id", "name", "seq", "side", F.inline(F.array(F.struct(F.lit(0).alias("flag"), F.col("q")), F.struct(F.lit(16).alias("flag"), S.reverse_complement(F.col("q")).alias("q")))))
+    h = strands.withColumn("o", local_column(F.col("q"), F.col("seq")))
     # written, else they are aligned for each that asks for a part of them, and before they are dealt out
     h = cut(h.select("gap_id", "name", "side", "flag", "o", F.length("q").alias("bases"))).where(F.col("o.score") >= least)
     clip = lambda n: F.when(n > 3, F.concat(n.cast("string"), F.lit("S"))).otherwise("")
@@ -84,7 +118,7 @@ def fill_gaps(scaffolds: DataFrame, gaps: DataFrame, reads: DataFrame, ks: tuple
     pairs = flank_pairs(scaffolds, gaps, flank)
     done: DataFrame | None = None
     for i, (least, score) in enumerate(rounds, 1):
-        open_pairs, open_reads = (pairs, reads) if done is None else (x.join(done.select("gap_id"), "gap_id", "left_anti") for x in (pairs, reads))
+        open_pairs, open_reads = (pairs, reads) if done is None else (x.join(merge(done.select("gap_id")), "gap_id", "left_anti") for x in (pairs, reads))
         found = cut(fill_round(open_pairs, open_reads, list(ks), least, score).withColumn("round", F.lit(i)))
         done = found if done is None else done.unionByName(found)
     return done
@@ -98,18 +132,32 @@ def rescued_reads(unmapped: DataFrame, contigs: DataFrame, k: int = 31) -> DataF
     both = contigs.select("gap_id", "seq").union(contigs.select("gap_id", S.reverse_complement(F.col("seq")).alias("seq")))
     known = kmers.kmer_counts(both, ["gap_id"], "seq", k).select("gap_id", "kmer")
     ids = unmapped.where("seq IS NOT NULL").select("qname", "mate", F.explode(S.kmers(F.col("seq"), k)).alias("kmer")).distinct()
-    hits = cut(ids.join(known, "kmer").select("qname", "mate", "gap_id").distinct())
+    hits = cut(ids.join(merge(known), "kmer").select("qname", "mate", "gap_id").distinct())
     mates = hits.select("qname", (3 - F.col("mate")).alias("mate"), F.col("gap_id").alias("mate_gap"))
-    aligned = hits.join(mates, ["qname", "mate"], "left").select("qname", "mate", "gap_id", F.when(F.col("mate_gap").isNull(), 8).otherwise(0).alias("flag"), "mate_gap")
+    aligned = hits.join(merge(mates), ["qname", "mate"], "left").select("qname", "mate", "gap_id", F.when(F.col("mate_gap").isNull(), 8).otherwise(0).alias("flag"), "mate_gap")
     wanted = hits.unionByName(joins.rescue_mates(aligned, unmapped.select("qname", "mate")).select("qname", "mate", "gap_id")).distinct()
-    return wanted.join(unmapped, ["qname", "mate"]).select("gap_id", "seq")
+    return wanted.join(merge(unmapped), ["qname", "mate"]).select("gap_id", "seq")
+
+
+def merged_ones(contigs: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """The merged sequences of every gap's contigs, those that lie within another left out before.
+
+    Both is done at once for a gap whose contigs have at most ``at_once`` bases; for others the containments are joins.
+    """
+    small, large = _by_size(contigs.select("gap_id", "name", "seq"), at_once)
 
+    def run(_: object, rows: list[tuple]) -> list[tuple[str, str]]:
+        inside = dedup.within(rows)
+        seqs: dict[str, str] = {}
+        for n, s in sorted(rows):
+            if n not in inside:
+                seqs.setdefault(n, s.upper())
+        return [(n, s) for n, _, s in graph.merged_paths(seqs, clip=50)]
 
-def merged_ones(contigs: DataFrame) -> DataFrame:
-    """The merged sequences of every gap's contigs, those that lie within another left out before."""
-    named = contigs.withColumn("name", F.concat_ws(":", "gap_id", "name"))
+    named = large.withColumn("name", F.concat_ws(":", "gap_id", "name"))
     inside = dedup.contained_or_smaller(dedup.exact_containments(named, "gap_id", "name", "seq"), 0.85)
-    return graph.merge_contigs(cut(dedup.without(named, "name", inside)), "gap_id", "name", "seq").where("reason IS NULL").select("gap_id", "name", "seq")
+    rest = graph.merge_contigs(dedup.without(named, "name", merge(inside)), "gap_id", "name", "seq").where("reason IS NULL").select("gap_id", "name", "seq")
+    return graph.of_groups(small, run, ["name", "seq"]).unionByName(rest)
 
 
 def fill_run(scaffolds: DataFrame, gaps: DataFrame, reads: DataFrame, unmapped: DataFrame, high_quality: DataFrame, ks: tuple[int, ...] = (31,), flank: int = 300, least: int = 2, scores: tuple[int, int] = (30, 15)) -> DataFrame:
@@ -126,7 +174,7 @@ def fill_run(scaffolds: DataFrame, gaps: DataFrame, reads: DataFrame, unmapped:
     done: list[DataFrame] = []
 
     def still(df: DataFrame) -> DataFrame:
-        return df.join(reduce(DataFrame.unionByName, [x.select("gap_id") for x in done]), "gap_id", "left_anti") if done else df
+        return df.join(merge(reduce(DataFrame.unionByName, [x.select("gap_id") for x in done])), "gap_id", "left_anti") if done else df
 
     def picked(contigs: DataFrame, score: int, step: str) -> None:
         p = pick.pick_bridging(align_flanks(still(pairs), contigs, score), contigs.withColumnRenamed("name", "contig"), 2 * INSET)
